@@ -15,11 +15,12 @@ from chartline.functions.times import (
     floor_time,
     micros_between,
     seconds_between,
+    time_bin,
     width_seconds,
 )
 from chartline.layout import PATIENTS, Layout
 from chartline.operators.quantiles import group_quantiles
-from chartline.operators.select import known, readings_long
+from chartline.operators.select import known, turned_long
 from chartline.sizing import broadcast_if_small, stored, task_count
 
 # Readings above which raw output is resampled, and points aimed at by auto mode.
@@ -152,7 +153,7 @@ def resample(
         return _resample_varying(rows, spans, F.lit(seconds).cast("bigint"), *options)
 
     # Widths that divide a day need nothing from other rows: midnight bins are the same for all.
-    binned = rows.withColumn("_bin", floor_time(F.col(layout.time), seconds))
+    binned = rows.withColumn("_bin", time_bin(F.col(layout.time), seconds))
     grid = None
     if dense:
         ends = _spans(rows, [], layout).withColumn("_start", floor_time(F.col("_first"), seconds))
@@ -193,7 +194,7 @@ def _aggregate(
 
     spread = None
     if quantiles:
-        long = binned.select(*keys, *signals).unpivot(keys, signals, "signal", "value")
+        long = turned_long(binned, keys, signals)
         spread = group_quantiles(long, [*keys, "signal"], "value", quantiles, approx)
 
     def of(signal: str, name: str) -> Column:
@@ -232,7 +233,7 @@ def forward_fill(
     from one summary row per earlier chunk. So a long series is filled by many tasks.
     """
     keys = [layout.entity, "_chunk"]
-    chunked = df.withColumn("_chunk", floor_time(F.col(layout.time), chunk_seconds))
+    chunked = df.withColumn("_chunk", time_bin(F.col(layout.time), chunk_seconds))
     inside = Window.partitionBy(*keys).orderBy(layout.time).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(layout.entity).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     summaries = chunked.groupBy(*keys).agg(

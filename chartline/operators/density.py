@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartline.functions.times import DENSITY_BIN_SECONDS, MICROS, floor_time, ntz
+from chartline.functions.times import DENSITY_BIN_SECONDS, MICROS, floor_time, ntz, time_bin
 from chartline.layout import PATIENTS, Layout
 from chartline.operators.bins import bin_grid
 
@@ -42,7 +42,7 @@ def event_density(
         [key], "_start", "_final", F.lit(seconds * MICROS), "time_bin",
     )
     counted = happened.select(
-        key, floor_time(F.col("_at"), seconds).alias("time_bin"), F.lit(1).alias("_n")
+        key, time_bin(F.col("_at"), seconds).alias("time_bin"), F.lit(1).alias("_n")
     )
     return (
         counted.unionByName(grid.withColumn("_n", F.lit(0)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartline.functions.text import interval_label
-from chartline.functions.times import floor_time, seconds_between
+from chartline.functions.times import seconds_between, time_bin
 from chartline.layout import PATIENTS, Layout
 from chartline.operators.quantiles import group_quantiles
 from chartline.operators.select import known, readings_long
@@ -48,7 +48,7 @@ def reading_gaps(
     long = (
         readings_long(known(readings, layout), signals, layout)
         .select(*keys, when)
-        .withColumn("_chunk", floor_time(when, chunk_seconds))
+        .withColumn("_chunk", time_bin(when, chunk_seconds))
     )
     previous = F.lag(layout.time).over(Window.partitionBy(*keys, "_chunk").orderBy(layout.time))
     inside = long.select(*keys, when, previous.alias("_previous"))

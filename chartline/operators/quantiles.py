@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 _BANDS = 1024
 # Puts the band of the smallest positive double above zero.
 _BAND_OFFSET = 1100 * _BANDS
+# Above the band of the largest double.
+_TOP_BAND = 1025.0 * _BANDS
 
 
 def _band(value: Column) -> Column:
-    """Coarse whole-number band of a double, never decreasing as the value grows."""
-    size = F.floor(F.log2(F.abs(value)) * _BANDS) + _BAND_OFFSET
-    return F.when(value == 0, F.lit(0).cast("bigint")).otherwise(F.when(value > 0, size).otherwise(-size))
+    """Coarse whole-number band of a double, never decreasing as the value grows; infinity included."""
+    size = F.floor(F.least(F.log2(F.abs(value)) * _BANDS, F.lit(_TOP_BAND))) + _BAND_OFFSET
+    return F.coalesce(F.when(value > 0, size).when(value < 0, -size), F.lit(0).cast("bigint"))
 
 
 def group_quantiles(
@@ -28,10 +30,13 @@ def group_quantiles(
 ) -> DataFrame:
     """Quantiles of ``value`` per group, one column per entry of ``quantiles`` (name to fraction).
 
-    Nulls are skipped and groups without any value are left out. ``approx=True`` answers from a
+    Nulls are skipped; groups without any value and rows without a full key are left out. ``approx=True`` answers from a
     bounded sketch in one shuffle: cheaper, but only close, and without interpolation.
     """
-    rows = df.select(*keys, F.col(value).alias("_value")).where(F.col("_value").isNotNull())
+    rows = df.select(*keys, F.col(value).alias("_value"))
+    # Asking for all keys up front keeps both uses of the counts below one and the same shuffle.
+    for column in rows.columns:
+        rows = rows.where(F.col(column).isNotNull())
     if approx:
         return rows.groupBy(*keys).agg(
             *(F.percentile_approx("_value", p, 10_000).alias(name) for name, p in quantiles.items())

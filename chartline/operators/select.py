@@ -33,12 +33,17 @@ def known(readings: DataFrame, layout: Layout = PATIENTS) -> DataFrame:
     return readings.where(F.col(layout.entity).isNotNull() & F.col(layout.time).isNotNull())
 
 
+def turned_long(df: DataFrame, keys: list[str], signals: list[str]) -> DataFrame:
+    """One row per key row and signal with a value: keys, signal, value."""
+    pairs = [part for s in signals for part in (F.lit(s), F.col(s))]
+    # stack rather than unpivot: a plan that uses the result twice then computes it once.
+    long = df.select(*keys, F.stack(F.lit(len(signals)), *pairs).alias("signal", "value"))
+    return long.where(F.col("value").isNotNull())
+
+
 def readings_long(readings: DataFrame, signals=None, layout: Layout = PATIENTS) -> DataFrame:
     """One row per reading that has a value: entity, time, signal, value."""
-    present = layout.present(readings, signals)
-    return readings.select(layout.entity, layout.time, *present).unpivot(
-        [layout.entity, layout.time], present, "signal", "value"
-    ).where(F.col("value").isNotNull())
+    return turned_long(readings, [layout.entity, layout.time], layout.present(readings, signals))
 
 
 def with_event_time(events: DataFrame, layout: Layout = PATIENTS) -> DataFrame:

@@ -22,26 +22,52 @@ def event_moments(events: DataFrame, layout: Layout = PATIENTS) -> DataFrame:
     )
 
 
+# How the parts of a window are put together: aggregate names and the function that merges them.
+_MERGE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+_TAKE = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+
+
+def _parts(functions: dict, columns: dict[str, str], window=None) -> Column:
+    """Struct of the four aggregates; ``columns`` names the input of each."""
+    taken = {name: f(columns[name]) for name, f in functions.items()}
+    return F.struct(
+        *((c if window is None else c.over(window)).alias(name) for name, c in taken.items())
+    )
+
+
+def _joined(a: Column, b: Column) -> Column:
+    """The four aggregates of two parts of one window; least and greatest pass over nulls."""
+    zero = F.lit(0)
+    return F.struct(
+        (F.coalesce(a["sum"], zero) + F.coalesce(b["sum"], zero)).alias("sum"),
+        (F.coalesce(a["count"], zero) + F.coalesce(b["count"], zero)).alias("count"),
+        F.least(a["min"], b["min"]).alias("min"),
+        F.greatest(a["max"], b["max"]).alias("max"),
+    )
+
+
 def context_wide(
     readings: DataFrame,
     events: DataFrame,
     window_minutes: float = 5,
     signals=None,
     layout: Layout = PATIENTS,
+    chunk_seconds: int = 3600,
 ) -> DataFrame:
     """Mean, min, max and count of each signal within the closed window around each event moment.
 
     Time is cut into cells as wide as the window, so a window always ends in the cell after the one
     it starts in. What it covers is then the tail of one cell and the head of the next, and both are
     running aggregates over the cell's readings. Cost grows with readings plus events: no reading is
-    ever paired with each event near it.
+    ever paired with each event near it. Cells wider than ``chunk_seconds`` are cut into chunks that
+    are run through separately, and what the chunks before or after add comes from one row per chunk.
     """
     key = layout.entity
     signals = layout.present(readings, signals)
     half = round(window_minutes * 60 * MICROS)
     if half <= 0:
         raise ValueError("window_minutes must be positive")
-    cell = [key, "_cell"]
+    cell, chunk = [key, "_cell"], [key, "_cell", "_chunk"]
     moment = F.col("event_time")
     ends = F.array(
         F.struct(F.lit(False).alias("head"), add_micros(moment, -half).alias("at")),
@@ -52,6 +78,7 @@ def context_wide(
         .select(key, "event_time", F.explode(ends).alias("_end"))
         .select(key, "event_time", F.col("_end.at").alias("_at"), F.col("_end.head").alias("_head"))
         .withColumn("_cell", cell_index(F.col("_at"), 2 * half))
+        .withColumn("_probe", F.lit(1))
     )
     # Only cells that some window touches matter; the rest of the readings go no further.
     near = (
@@ -59,47 +86,49 @@ def context_wide(
         .select(key, F.col(layout.time).alias("_at"), *signals)
         .withColumn("_cell", cell_index(F.col("_at"), 2 * half))
         .join(probes.select(*cell), cell, "left_semi")
+        .withColumn("_probe", F.lit(0))
     )
-    line = near.withColumn("_probe", F.lit(0)).unionByName(
-        probes.withColumn("_probe", F.lit(1)), allowMissingColumns=True
-    )
-    # Readings at the very edge belong to the window, so they come before the probe both ways.
-    head = Window.partitionBy(*cell).orderBy(F.asc("_at"), "_probe").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    tail = Window.partitionBy(*cell).orderBy(F.desc("_at"), "_probe").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    parts = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
-
-    def running(signal: str, window) -> Column:
-        return F.struct(*(f(signal).over(window).alias(name) for name, f in parts.items()))
+    line = near.unionByName(probes, allowMissingColumns=True)
+    chunked = 2 * half > chunk_seconds * MICROS
+    if chunked:
+        line = line.withColumn("_chunk", cell_index(F.col("_at"), chunk_seconds * MICROS))
+    group = chunk if chunked else cell
 
-    both = (
-        line.select(
-            key, "event_time", "_head", "_probe",
-            *(running(s, head).alias(f"_head_{s}") for s in signals),
-            *(running(s, tail).alias(f"_tail_{s}") for s in signals),
+    # Readings at the very edge belong to the window, so they come before the probe both ways.
+    upto = Window.unboundedPreceding, 0
+    head = Window.partitionBy(*group).orderBy(F.asc("_at"), "_probe").rowsBetween(*upto)
+    tail = Window.partitionBy(*group).orderBy(F.desc("_at"), "_probe").rowsBetween(*upto)
+
+    def side(prefix: str, s: str) -> Column:
+        return F.when(F.col("_head"), F.col(f"_head{prefix}_{s}")).otherwise(F.col(f"_tail{prefix}_{s}"))
+
+    parts = line.select(
+        *group, "event_time", "_head", "_probe",
+        *(_parts(_TAKE, dict.fromkeys(_TAKE, s), head).alias(f"_head_{s}") for s in signals),
+        *(_parts(_TAKE, dict.fromkeys(_TAKE, s), tail).alias(f"_tail_{s}") for s in signals),
+    ).where(F.col("_probe") == 1)
+    if chunked:
+        sums = line.groupBy(*chunk).agg(
+            F.max("_probe").alias("_probe"),
+            *(_parts(_TAKE, dict.fromkeys(_TAKE, s)).alias(s) for s in signals),
         )
-        .where(F.col("_probe") == 1)
-        .select(
-            key, "event_time",
-            *(
-                F.when(F.col("_head"), F.col(f"_head_{s}")).otherwise(F.col(f"_tail_{s}")).alias(f"_{s}")
-                for s in signals
-            ),
-        )
-    )
-    totals = both.groupBy(key, "event_time").agg(
-        *(
-            F.struct(
-                F.sum(f"_{s}.sum").alias("sum"),
-                F.sum(f"_{s}.count").alias("count"),
-                F.min(f"_{s}.min").alias("min"),
-                F.max(f"_{s}.max").alias("max"),
-            ).alias(s)
-            for s in signals
+        others = Window.unboundedPreceding, -1
+        before = Window.partitionBy(*cell).orderBy("_chunk").rowsBetween(*others)
+        after = Window.partitionBy(*cell).orderBy(F.desc("_chunk")).rowsBetween(*others)
+        fields = {s: {name: f"{s}.{name}" for name in _MERGE} for s in signals}
+        entering = sums.select(
+            *chunk, "_probe",
+            *(_parts(_MERGE, fields[s], before).alias(f"_head_chunks_{s}") for s in signals),
+            *(_parts(_MERGE, fields[s], after).alias(f"_tail_chunks_{s}") for s in signals),
+        ).where(F.col("_probe") == 1).drop("_probe")
+        pieces = parts.join(entering, chunk).select(
+            key, "event_time", *(_joined(side("", s), side("_chunks", s)).alias(s) for s in signals)
         )
+    else:
+        pieces = parts.select(key, "event_time", *(side("", s).alias(s) for s in signals))
+
+    totals = pieces.groupBy(key, "event_time").agg(
+        *(_parts(_MERGE, {name: f"{s}.{name}" for name in _MERGE}).alias(s) for s in signals)
     )
     columns = []
     for s in signals:

@@ -50,6 +50,8 @@ def event_rates(
 
 def event_type_counts(events: DataFrame, layout: Layout = PATIENTS) -> DataFrame:
     """Events per entity and type, missing types skipped, most frequent first."""
+    if layout.event_type not in events.columns:
+        events = events.withColumn(layout.event_type, F.lit(None).cast("string"))
     return (
         events.where(F.col(layout.entity).isNotNull() & F.col(layout.event_type).isNotNull())
         .groupBy(layout.entity, layout.event_type)

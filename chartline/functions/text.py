@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chartline.functions.times import from_epoch_micros
 
 # Fixed value: an epoch number at or above this is read as milliseconds, below as seconds.
-EPOCH_MILLIS_FROM = 1e11
+EPOCH_MILLIS_FROM = 100_000_000_000
 # Largest epoch in milliseconds that still falls in year 9999.
 EPOCH_MILLIS_MAX = 253_402_300_799_999
 
@@ -31,12 +31,11 @@ def truthy(text) -> Column:
 def parse_timestamp(text) -> Column:
     """Text to a zone-free timestamp: epoch seconds or milliseconds if numeric, else ISO; bad is null."""
     trimmed = F.trim(text)
-    size = F.abs(trimmed.try_cast("double"))
-    exact = trimmed.try_cast("decimal(30,6)")
-    in_millis = size >= EPOCH_MILLIS_FROM
-    micros = F.when(in_millis, exact * 1000).otherwise(exact * 1_000_000)
-    epoch = F.when(size <= EPOCH_MILLIS_MAX, from_epoch_micros(F.floor(micros).cast("bigint")))
-    return F.when(trimmed.rlike(_NUMBER), epoch).otherwise(trimmed.try_cast("timestamp_ntz"))
+    epoch = trimmed.try_cast("decimal(30,6)")
+    scale = F.when(F.abs(epoch) >= EPOCH_MILLIS_FROM, 1000).otherwise(1_000_000)
+    micros = F.floor(epoch * scale).cast("bigint")
+    from_epoch = F.when(F.abs(epoch) <= EPOCH_MILLIS_MAX, from_epoch_micros(micros))
+    return F.when(trimmed.rlike(_NUMBER), from_epoch).otherwise(trimmed.try_cast("timestamp_ntz"))
 
 
 def interval_label(seconds) -> Column:

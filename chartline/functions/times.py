@@ -75,21 +75,15 @@ def floor_time(ts, width_seconds: int) -> Column:
     return from_epoch_micros(floor_micros(epoch_micros(ts), F.lit(width_seconds * MICROS)))
 
 
-def time_bin(ts, seconds: int) -> Column:
+def time_bin(ts, seconds: float) -> Column:
     """Like ``floor_time`` but cheaper. Rows without a time drop, and a select may hold only one."""
-    return F.window(ts, f"{seconds} seconds")["start"]
+    return F.window(ts, f"{round(seconds * MICROS)} microseconds")["start"]
 
 
 def day_start(ts) -> Column:
     return floor_time(ts, DAY_SECONDS)
 
 
-def cell_index(ts, width_micros: int) -> Column:
-    """Number of the fixed-width cell holding ``ts``, as a whole number that grows with time."""
-    width = F.lit(width_micros)
-    return F.call_function("div", floor_micros(epoch_micros(ts), width), width)
-
-
 def width_seconds(granularity: str) -> int:
     """Width of a named or free granularity such as ``"7min"``; anything else raises."""
     if granularity in GRANULARITY_SECONDS:

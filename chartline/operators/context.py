@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartline.functions.text import context_title, with_unit
-from chartline.functions.times import MICROS, add_micros, cell_index, seconds_between
+from chartline.functions.times import MICROS, add_micros, seconds_between, time_bin
 from chartline.layout import PATIENTS, SIGNAL_METADATA, Layout
 from chartline.operators.select import known
 
@@ -77,21 +77,21 @@ def context_wide(
         event_moments(events, layout)
         .select(key, "event_time", F.explode(ends).alias("_end"))
         .select(key, "event_time", F.col("_end.at").alias("_at"), F.col("_end.head").alias("_head"))
-        .withColumn("_cell", cell_index(F.col("_at"), 2 * half))
+        .withColumn("_cell", time_bin(F.col("_at"), 2 * half / MICROS))
         .withColumn("_probe", F.lit(1))
     )
     # Only cells that some window touches matter; the rest of the readings go no further.
     near = (
         known(readings, layout)
         .select(key, F.col(layout.time).alias("_at"), *signals)
-        .withColumn("_cell", cell_index(F.col("_at"), 2 * half))
-        .join(probes.select(*cell), cell, "left_semi")
+        .withColumn("_cell", time_bin(F.col("_at"), 2 * half / MICROS))
+        .join(probes.select(*cell).distinct(), cell, "left_semi")
         .withColumn("_probe", F.lit(0))
     )
     line = near.unionByName(probes, allowMissingColumns=True)
     chunked = 2 * half > chunk_seconds * MICROS
     if chunked:
-        line = line.withColumn("_chunk", cell_index(F.col("_at"), chunk_seconds * MICROS))
+        line = line.withColumn("_chunk", time_bin(F.col("_at"), chunk_seconds))
     group = chunk if chunked else cell
 
     # Readings at the very edge belong to the window, so they come before the probe both ways.

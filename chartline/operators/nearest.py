@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartline.functions.times import MICROS, cell_index, micros_between
+from chartline.functions.times import MICROS, micros_between, time_bin
 from chartline.layout import PATIENTS, Layout
 from chartline.operators.context import event_moments
 from chartline.operators.select import known
@@ -22,15 +22,14 @@ def _nearest_wide(
     """
     key = layout.entity
     chunk = [key, "_chunk"]
-    width = chunk_seconds * MICROS
     probes = event_moments(events, layout).select(
         key, F.col("event_time").alias("_at"), F.lit(1).alias("_probe")
     )
     points = known(readings, layout).select(
         key, F.col(layout.time).alias("_at"), F.lit(0).alias("_probe"), *signals
     )
-    probes = probes.withColumn("_chunk", cell_index(F.col("_at"), width))
-    points = points.withColumn("_chunk", cell_index(F.col("_at"), width))
+    probes = probes.withColumn("_chunk", time_bin(F.col("_at"), chunk_seconds))
+    points = points.withColumn("_chunk", time_bin(F.col("_at"), chunk_seconds))
 
     def seen(s: str):
         return F.when(F.col(s).isNotNull(), F.col("_at"))
@@ -63,7 +62,7 @@ def _nearest_wide(
     ).where(F.col("_probe") == 1).drop("_probe")
 
     # Only chunks with events are ordered row by row.
-    line = points.join(probes.select(*chunk), chunk, "left_semi").unionByName(
+    line = points.join(probes.select(*chunk).distinct(), chunk, "left_semi").unionByName(
         probes, allowMissingColumns=True
     )
     back = Window.partitionBy(*chunk).orderBy(F.asc("_at"), "_probe").rowsBetween(

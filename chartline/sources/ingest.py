@@ -99,10 +99,13 @@ def parse_upload(raw: DataFrame, layout: Layout = PATIENTS) -> DataFrame:
 
 
 def clean_upload(parsed: DataFrame, order_by=None, layout: Layout = PATIENTS) -> DataFrame:
-    """Rows with a usable time, the first per entity and time in file order (or ``order_by``)."""
-    return dedupe_readings(
-        parsed.where(F.col(layout.time).isNotNull()), order_by or [ORDINAL], layout
-    )
+    """Rows with a usable time, the first per entity and time in file order (or ``order_by``).
+
+    Rows without a time collapse with the duplicates and drop at the end: a filter on the time itself
+    would be pushed below the parsing and have every text parsed twice.
+    """
+    marked = parsed.withColumn("_usable", F.col(layout.time).isNotNull())
+    return dedupe_readings(marked, order_by or [ORDINAL], layout).where("_usable").drop("_usable")
 
 
 def extract_readings(df: DataFrame, layout: Layout = PATIENTS) -> DataFrame:

@@ -30,6 +30,7 @@ from chartline.operators.summaries import (
 )
 from chartline.plans.timeline import Timeline, patient_timeline
 from chartline.sources.ingest import DataValidationError, load_upload, read_upload, validate_columns
+from chartline.sources.tables import read_events, read_readings
 from chartline.sources.sinks import write_by_day, write_combined, write_per_patient, write_upload_ready
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -42,21 +42,18 @@ class Upload:
     report: DataFrame
 
 
-def read_upload(spark: SparkSession, path, fmt: str = "csv", layout: Layout = PATIENTS) -> DataFrame:
-    """The raw table as text columns plus an ordinal that follows file and row order."""
-    if fmt == "csv":
-        raw = spark.read.option("header", True).csv(path)
-    else:
-        raw = spark.read.format(fmt).load(path)
-    text = raw.select(
-        *(F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns),
+def read_upload(spark: SparkSession, path, fmt: str = "csv") -> DataFrame:
+    """The raw table plus an ordinal that follows file and row order. CSV columns stay text."""
+    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+    raw = reader.format(fmt).load(path)
+    return raw.select(
+        *(F.col(f"`{c}`") for c in raw.columns),
         F.struct(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("row"),
         ).alias(ORDINAL),
     )
-    return text
 
 
 def validate_columns(columns: list[str], layout: Layout = PATIENTS) -> SchemaCheck:
@@ -85,15 +82,43 @@ def validate_columns(columns: list[str], layout: Layout = PATIENTS) -> SchemaChe
     return check
 
 
+def _kind(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.typeName()
+
+
+def as_time(df: DataFrame, name: str) -> Column:
+    """A column as zone-free time: timestamps as they are, text and numbers parsed."""
+    if _kind(df, name).startswith("timestamp"):
+        return F.col(name).cast("timestamp_ntz")
+    return parse_timestamp(F.col(name).cast("string"))
+
+
+def as_number(df: DataFrame, name: str) -> Column:
+    """A column as double with null for anything that is not a number, NaN included."""
+    if _kind(df, name) == "string":
+        return number(F.col(name))
+    return F.nanvl(F.col(name).cast("double"), F.lit(None))
+
+
+def as_flag(df: DataFrame, name: str) -> Column:
+    """A column as a flag: booleans as they are, numbers other than zero, text as ``truthy`` reads it."""
+    kind = _kind(df, name)
+    if kind == "string":
+        return truthy(F.col(name))
+    if kind == "boolean":
+        return F.coalesce(F.col(name), F.lit(False))
+    return F.coalesce(as_number(df, name) != 0, F.lit(False))
+
+
 def parse_upload(raw: DataFrame, layout: Layout = PATIENTS) -> DataFrame:
     """Default id if there is none, blank ids to null, and the time parsed. Bad times become null."""
-    blank_to_null = F.when(F.trim(layout.entity) != "", F.trim(layout.entity))
-    entity = blank_to_null if layout.entity in raw.columns else F.lit(DEFAULT_PATIENT)
+    text = F.trim(F.col(layout.entity).cast("string"))
+    entity = F.when(text != "", text) if layout.entity in raw.columns else F.lit(DEFAULT_PATIENT)
     return raw.withColumns(
         {
             layout.entity: entity,
             "_raw_time": F.col("timestamp"),
-            layout.time: parse_timestamp(F.col("timestamp")),
+            layout.time: as_time(raw, "timestamp"),
         }
     )
 
@@ -111,7 +136,7 @@ def clean_upload(parsed: DataFrame, order_by=None, layout: Layout = PATIENTS) ->
 def extract_readings(df: DataFrame, layout: Layout = PATIENTS) -> DataFrame:
     """Known signal columns as doubles; what is not a number becomes null."""
     return df.select(
-        layout.entity, layout.time, *(number(F.col(s)).alias(s) for s in layout.present(df))
+        layout.entity, layout.time, *(as_number(df, s).alias(s) for s in layout.present(df))
     )
 
 
@@ -127,7 +152,7 @@ def _events(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
 def extract_point_events(df: DataFrame, flag: str, layout: Layout = PATIENTS) -> DataFrame:
     """An event at every row whose flag is set."""
     return _events(
-        df.where(truthy(F.col(flag))),
+        df.where(as_flag(df, flag)),
         {
             "patient_id": F.col(layout.entity),
             "seizure_time": F.col(layout.time),
@@ -140,14 +165,14 @@ def extract_point_events(df: DataFrame, flag: str, layout: Layout = PATIENTS) ->
 
 def extract_interval_events(df: DataFrame, layout: Layout = PATIENTS) -> DataFrame:
     """An interval for every row with a usable start; its time is the start."""
-    start = parse_timestamp(F.col("seizure_start"))
+    start = as_time(df, "seizure_start")
     return _events(
         df.where(start.isNotNull()),
         {
             "patient_id": F.col(layout.entity),
             "seizure_time": start,
             "seizure_start": start,
-            "seizure_end": parse_timestamp(F.col("seizure_end")),
+            "seizure_end": as_time(df, "seizure_end"),
             "seizure_type": F.lit(UNKNOWN),
             "severity": F.lit(UNKNOWN),
             "is_interval": F.lit(True),
@@ -167,7 +192,7 @@ def extract_events(df: DataFrame, layout: Layout = PATIENTS) -> DataFrame:
 
 def ingest_report(parsed: DataFrame, layout: Layout = PATIENTS) -> DataFrame:
     """One row: rows read, rows without a time, rows with a bad time, duplicates and rows kept."""
-    blank = F.coalesce(F.trim("_raw_time") == "", F.lit(True))
+    blank = F.coalesce(F.trim(F.col("_raw_time").cast("string")) == "", F.lit(True))
     usable = F.col(layout.time).isNotNull()
     per_key = parsed.groupBy(layout.entity, layout.time).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(blank).alias("_blank")
@@ -185,7 +210,7 @@ def load_upload(
     spark: SparkSession, path, fmt: str = "csv", strict: bool = False, layout: Layout = PATIENTS
 ) -> Upload:
     """Read, check and clean an upload. ``strict`` fails on the first unusable time instead of skipping it."""
-    raw = read_upload(spark, path, fmt, layout)
+    raw = read_upload(spark, path, fmt)
     check = validate_columns(raw.columns, layout)
     if not check.valid:
         raise DataValidationError(check.error)
@@ -194,7 +219,8 @@ def load_upload(
         warnings.append(f"No {layout.entity} column found; using {DEFAULT_PATIENT!r}.")
     parsed = parse_upload(raw, layout)
     if strict:
-        bad = parsed.where(F.col(layout.time).isNull() & (F.trim("_raw_time") != ""))
+        given = F.trim(F.col("_raw_time").cast("string")) != ""
+        bad = parsed.where(F.col(layout.time).isNull() & given)
         first = bad.select("_raw_time").head()
         if first:
             raise DataValidationError(f"Cannot read time {first[0]!r}; expected ISO or Unix epoch.")

@@ -1,7 +1,8 @@
 import pytest
 
-from chartline.layout import PATIENTS
-from chartline.sources import ingest
+from chartline.layout import EVENTS_SCHEMA, PATIENTS
+from chartline.operators.select import filter_patient
+from chartline.sources import ingest, tables
 from conftest import at, rows
 
 
@@ -124,3 +125,48 @@ def test_parquet_upload(spark, tmp_path):
     ).write.parquet(path)
     upload = ingest.load_upload(spark, path, "parquet")
     assert rows(upload.readings, "timestamp", "spo2") == [(at("10:00:00.000001"), 97.5)]
+
+
+def test_typed_upload_is_not_read_as_text(spark, tmp_path):
+    path = str(tmp_path / "in")
+    spark.sql(
+        "select timestamp_ntz'2024-01-02 10:00:00' as timestamp, 7 as patient_id, double('nan') as spo2,"
+        " 80 as heart_rate, true as seizure union all"
+        " select timestamp_ntz'2024-01-02 10:01:00', 7, 97.0D, 81, null"
+    ).write.parquet(path)
+    upload = ingest.load_upload(spark, path, "parquet")
+    assert rows(upload.readings, "patient_id", "spo2", "heart_rate") == [("7", 97.0, 81.0), ("7", None, 80.0)]
+    assert rows(upload.events, "seizure_time") == [(at("10:00:00"),)]
+
+
+def test_epoch_numbers_in_a_typed_upload(spark, tmp_path):
+    path = str(tmp_path / "in")
+    spark.sql("select 1705312200 as timestamp, 1.0D as spo2, 2 as seizure").write.parquet(path)
+    upload = ingest.load_upload(spark, path, "parquet")
+    assert rows(upload.events, "patient_id", "seizure_time") == [
+        ("uploaded_patient", at("2024-01-15 09:50:00")),
+    ]
+
+
+def test_event_table_from_csv(spark, tmp_path):
+    (tmp_path / "events.csv").write_text(
+        "patient_id,seizure_time,seizure_type,severity,duration_seconds\n"
+        "007,2024-01-02 10:00:00.5,focal,mild,42\n008,,absence,,\n"
+    )
+    out = tables.read_events(spark, str(tmp_path / "events.csv"), "csv")
+    assert out.schema == EVENTS_SCHEMA
+    assert rows(out, "patient_id", "seizure_time", "seizure_type", "duration_seconds") == [
+        ("007", at("10:00:00.500000"), "focal", 42), ("008", None, "absence", None),
+    ]
+
+
+def test_readings_table_keeps_filters_at_the_scan(spark, tmp_path):
+    path = str(tmp_path / "r")
+    spark.sql(
+        "select 'p' as patient_id, timestamp_ntz'2024-01-02 10:00:00' as timestamp, double('nan') as spo2"
+    ).write.parquet(path)
+    out = tables.read_readings(spark, path)
+    assert out.columns == ["patient_id", "timestamp", "spo2"]
+    assert rows(out, "spo2") == [(None,)]
+    plan = filter_patient(out, "p")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(patient_id,p)" in plan

@@ -9,6 +9,7 @@ from chartline.functions.text import context_title, with_unit
 from chartline.functions.times import MICROS, add_micros, seconds_between, time_bin
 from chartline.layout import PATIENTS, SIGNAL_METADATA, Layout
 from chartline.operators.select import known
+from chartline.sizing import rows_in
 
 STATS = ("mean", "min", "max", "count")
 
@@ -81,13 +82,12 @@ def context_wide(
         .withColumn("_probe", F.lit(1))
     )
     # Only cells that some window touches matter; the rest of the readings go no further.
-    near = (
+    points = (
         known(readings, layout)
         .select(key, F.col(layout.time).alias("_at"), *signals)
         .withColumn("_cell", time_bin(F.col("_at"), 2 * half / MICROS))
-        .join(probes.select(*cell).distinct(), cell, "left_semi")
-        .withColumn("_probe", F.lit(0))
     )
+    near = rows_in(points, probes, cell).withColumn("_probe", F.lit(0))
     line = near.unionByName(probes, allowMissingColumns=True)
     chunked = 2 * half > chunk_seconds * MICROS
     if chunked:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartline.functions.times import MICROS, micros_between, time_bin
+from chartline.functions.times import MICROS, add_micros, micros_between, time_bin
 from chartline.layout import PATIENTS, Layout
 from chartline.operators.context import event_moments
 from chartline.operators.select import known
+from chartline.sizing import broadcast_if_small, rows_in, stored
 
 
 def _nearest_wide(
@@ -62,9 +63,7 @@ def _nearest_wide(
     ).where(F.col("_probe") == 1).drop("_probe")
 
     # Only chunks with events are ordered row by row.
-    line = points.join(probes.select(*chunk).distinct(), chunk, "left_semi").unionByName(
-        probes, allowMissingColumns=True
-    )
+    line = rows_in(points, probes, chunk).unionByName(probes, allowMissingColumns=True)
     back = Window.partitionBy(*chunk).orderBy(F.asc("_at"), "_probe").rowsBetween(
         Window.unboundedPreceding, 0
     )
@@ -135,16 +134,29 @@ def flag_event_rows(
     Any row counts, even one without a single value.
     """
     keys = [layout.entity, layout.time]
-    present = readings.select(*keys, F.lit(1).alias("_row"))
-    # Only rows within the tolerance matter, so chunks need not be much wider than that.
-    chunk_seconds = max(3600, int(tolerance_seconds))
-    hits = (
-        _nearest_wide(present, events, ["_row"], layout, chunk_seconds)
+    # Only chunks within reach of an event can hold a hit, so other rows are not looked at.
+    chunk, chunk_seconds = [layout.entity, "_chunk"], max(3600, tolerance_seconds)
+    reach = round(tolerance_seconds * MICROS)
+    moment = F.col("event_time")
+    reached = (
+        event_moments(events, layout)
+        .select(
+            layout.entity,
+            F.explode(F.array(add_micros(moment, -reach), moment, add_micros(moment, reach))).alias("_at"),
+        )
+        .withColumn("_chunk", time_bin(F.col("_at"), chunk_seconds))
+    )
+    present = known(readings, layout).select(*keys, F.lit(1).alias("_row"))
+    near = rows_in(
+        present.withColumn("_chunk", time_bin(F.col(layout.time), chunk_seconds)), reached, chunk
+    )
+    hits = stored(
+        _nearest_wide(near, events, ["_row"], layout, chunk_seconds)
         .where(F.col("_row.distance_seconds") < tolerance_seconds)
         .select(layout.entity, F.col("_row.nearest_time").alias(layout.time))
         .distinct()
         .withColumn(flag, F.lit(1))
     )
-    return readings.drop(flag).join(hits, keys, "left").withColumn(
+    return readings.drop(flag).join(broadcast_if_small(hits), keys, "left").withColumn(
         flag, F.coalesce(F.col(flag), F.lit(0))
     )

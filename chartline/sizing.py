@@ -26,7 +26,14 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark for broadcast when a bounded count shows few rows; else leave the join to the optimizer."""
-    if df.limit(max_rows + 1).count() > max_rows:
-        return df
-    return F.broadcast(df)
+    """Mark for broadcast when a count shows few rows; else leave the join to the optimizer.
+
+    The count is a job of its own. It pays where the other side would otherwise be shuffled whole, so
+    it is meant for frames that are far cheaper to compute than that side is to shuffle.
+    """
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def rows_in(df: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``df`` whose ``keys`` occur in ``cells``, filtered before any shuffle if those are few."""
+    return df.join(broadcast_if_small(cells.select(*keys).distinct()), keys, "left_semi")

@@ -138,9 +138,9 @@ def resample(
             rows.join(large, layout.entity, "left_semi"),
             spans.where(F.col("_points") > raw_limit),
             auto_width(seconds_between(F.col("_first"), F.col("_final"))),
-            *options[:2], False, *options[3:],
+            *options,
         )
-        return raw.unionByName(resampled)
+        return raw.unionByName(resampled, allowMissingColumns=True)
 
     if granularity == "auto":
         spans = stored(_spans(rows, [], layout))

@@ -19,8 +19,16 @@ def filter_time_range(df: DataFrame, start, end, layout: Layout = PATIENTS) -> D
 
     Readings are filtered on their time, events on the time they happened (intervals on their start).
     """
-    when = F.col(layout.time) if layout.time in df.columns else layout.event_time_of(df)
-    return df.where(when.between(ntz(start), ntz(end)))
+    first, last = ntz(start), ntz(end)
+    names = [layout.time] if layout.time in df.columns else [layout.event_time, layout.event_start]
+    columns = [F.col(c) for c in names if c in df.columns]
+    if not columns:
+        return df.limit(0)
+    within = columns[0].between(first, last)
+    if len(columns) == 2:
+        # Spelled out rather than with coalesce, so that it reaches the scan.
+        within = within | (columns[0].isNull() & columns[1].between(first, last))
+    return df.where(within)
 
 
 def filter_calendar_days(df: DataFrame, first, last=None, layout: Layout = PATIENTS) -> DataFrame:

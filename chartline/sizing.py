@@ -19,9 +19,12 @@ def stored(df: DataFrame) -> DataFrame:
 
     Without a checkpoint folder the frame is returned as it is and is simply computed again.
     """
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        return df
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            return df
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chartline.functions.text import number, parse_timestamp, truthy
 from chartline.layout import EVENTS_SCHEMA, PATIENTS, Layout
 from chartline.operators.combine import dedupe_readings
+from chartline.sizing import stored
 
 # Upload columns besides the signals, and the id given to uploads without one.
 REQUIRED_COLUMNS = ("timestamp",)
@@ -207,9 +208,18 @@ def ingest_report(parsed: DataFrame, layout: Layout = PATIENTS) -> DataFrame:
 
 
 def load_upload(
-    spark: SparkSession, path, fmt: str = "csv", strict: bool = False, layout: Layout = PATIENTS
+    spark: SparkSession,
+    path,
+    fmt: str = "csv",
+    strict: bool = False,
+    store: bool = False,
+    layout: Layout = PATIENTS,
 ) -> Upload:
-    """Read, check and clean an upload. ``strict`` fails on the first unusable time instead of skipping it."""
+    """Read, check and clean an upload. ``strict`` fails on the first unusable time instead of skipping it.
+
+    Readings and events both come from the cleaned rows; ``store`` writes those once to the checkpoint
+    folder, so that using both does not clean twice.
+    """
     raw = read_upload(spark, path, fmt)
     check = validate_columns(raw.columns, layout)
     if not check.valid:
@@ -225,6 +235,8 @@ def load_upload(
         if first:
             raise DataValidationError(f"Cannot read time {first[0]!r}; expected ISO or Unix epoch.")
     rows = clean_upload(parsed, layout=layout)
+    if store:
+        rows = stored(rows)
     return Upload(
         extract_readings(rows, layout), extract_events(rows, layout), warnings,
         ingest_report(parsed, layout),

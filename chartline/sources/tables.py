@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartline.functions.times import ntz
 from chartline.layout import EVENTS_SCHEMA, PATIENTS, Layout, readings_schema
+from chartline.operators.select import filter_time_range
 from chartline.sources.ingest import as_flag, as_number, as_time
 
 
@@ -29,17 +31,30 @@ def _typed(df: DataFrame, field) -> Column:
     return F.col(field.name).cast(field.dataType)
 
 
-def read_readings(spark: SparkSession, path, fmt: str = "parquet", layout: Layout = PATIENTS) -> DataFrame:
-    """Readings in the fixed column types. Signals the table lacks are left out.
+def _within_days(df: DataFrame, start, end) -> DataFrame:
+    """Skip the day folders of ``write_by_day`` that lie outside the range."""
+    if start is None or "day" not in df.columns:
+        return df
+    return df.where(F.col("day").between(F.to_date(ntz(start)), F.to_date(ntz(end))))
+
+
+def read_readings(
+    spark: SparkSession, path, fmt: str = "parquet", start=None, end=None, layout: Layout = PATIENTS
+) -> DataFrame:
+    """Readings in the fixed column types, of a time range if given. Signals the table lacks are left out.
 
     Typed ids and times pass through unchanged, so filters on them reach the scan.
     """
-    df = _scan(spark, path, fmt)
+    df = _within_days(_scan(spark, path, fmt), start, end)
     fields = [f for f in readings_schema(layout).fields if f.name in df.columns]
-    return df.select(*(_typed(df, f).alias(f.name) for f in fields))
+    out = df.select(*(_typed(df, f).alias(f.name) for f in fields))
+    return out if start is None else filter_time_range(out, start, end, layout)
 
 
-def read_events(spark: SparkSession, path, fmt: str = "parquet") -> DataFrame:
+def read_events(
+    spark: SparkSession, path, fmt: str = "parquet", start=None, end=None
+) -> DataFrame:
     """Point or interval events in the shared event schema; columns the table lacks are null."""
-    df = _scan(spark, path, fmt)
-    return df.select(*(_typed(df, f).alias(f.name) for f in EVENTS_SCHEMA.fields))
+    df = _within_days(_scan(spark, path, fmt), start, end)
+    out = df.select(*(_typed(df, f).alias(f.name) for f in EVENTS_SCHEMA.fields))
+    return out if start is None else filter_time_range(out, start, end)

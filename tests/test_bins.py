@@ -75,12 +75,12 @@ def test_raw_stays_raw_up_to_the_limit(hr):
     small = [("a", "00:00:00", 1), ("a", "00:00:30", 3)]
     large = [("b", f"00:00:0{i}", i) for i in range(3)] + [("b", "00:00:00.5", 5)]
     out = bins.resample(hr(*small, *large), "raw", raw_limit=3, show_band=True, layout=ONE)
-    assert out.columns == ["patient_id", "timestamp", "hr"]
-    assert rows(out.where("patient_id = 'a'"), "timestamp", "hr") == [
-        (at("00:00:00"), 1.0), (at("00:00:30"), 3.0),
+    assert rows(out.where("patient_id = 'a'"), "timestamp", "hr", "hr_p10") == [
+        (at("00:00:00"), 1.0, None), (at("00:00:30"), 3.0, None),
     ]
     # The span is above zero, so auto mode picks one second.
     assert series(out.where("patient_id = 'b'")) == [2.5, 1.0, 2.0]
+    assert series(out.where("patient_id = 'b'"), "hr_p90") == [4.5, 1.0, 2.0]
 
 
 def test_raw_guard_counts_non_null_readings(hr):

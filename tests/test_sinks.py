@@ -4,7 +4,7 @@ from pathlib import Path
 import pytest
 
 from chartline.plans.timeline import patient_timeline
-from chartline.sources import ingest, sinks
+from chartline.sources import ingest, sinks, tables
 from conftest import ONE, at, rows
 
 
@@ -41,6 +41,24 @@ def test_day_folders(spark, data, tmp_path):
     assert spark.read.parquet(path).count() == 3
 
 
+def test_day_folders_outside_the_range_are_not_read(spark, hr, tmp_path):
+    path = str(tmp_path / "days")
+    sinks.write_by_day(hr(*[(f"2024-01-0{d} 10:00:00", d) for d in range(1, 6)]), path)
+    out = tables.read_readings(
+        spark, path, start=at("2024-01-02 11:00:00"), end=at("2024-01-04 10:00:00"), layout=ONE
+    )
+    assert rows(out, "hr") == [(3.0,), (4.0,)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_stored_upload(spark, tmp_path):
+    (tmp_path / "u.csv").write_text("timestamp,spo2,seizure\n2024-01-02 10:00:00,97,1\n")
+    upload = ingest.load_upload(spark, str(tmp_path / "u.csv"), store=True)
+    assert (upload.readings.count(), upload.events.count()) == (1, 1)
+    assert "FileScan" not in upload.readings._jdf.queryExecution().executedPlan().toString()
+
+
 def test_upload_ready_round_trip(spark, events_at, tmp_path):
     readings = spark.createDataFrame(
         [("p", at("10:00:00"), 97.0), ("p", at("10:01:00"), 96.0)],

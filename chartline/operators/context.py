@@ -74,20 +74,21 @@ def context_wide(
         F.struct(F.lit(False).alias("head"), add_micros(moment, -half).alias("at")),
         F.struct(F.lit(True).alias("head"), add_micros(moment, half).alias("at")),
     )
+    cell_seconds = 2 * half / MICROS
     probes = (
         event_moments(events, layout)
         .select(key, "event_time", F.explode(ends).alias("_end"))
-        .select(key, "event_time", F.col("_end.at").alias("_at"), F.col("_end.head").alias("_head"))
-        .withColumn("_cell", time_bin(F.col("_at"), 2 * half / MICROS))
-        .withColumn("_probe", F.lit(1))
+        .select(
+            key, "event_time", F.col("_end.at").alias("_at"), F.col("_end.head").alias("_head"),
+            F.lit(1).alias("_probe"), time_bin(F.col("_end.at"), cell_seconds).alias("_cell"),
+        )
     )
     # Only cells that some window touches matter; the rest of the readings go no further.
-    points = (
-        known(readings, layout)
-        .select(key, F.col(layout.time).alias("_at"), *signals)
-        .withColumn("_cell", time_bin(F.col("_at"), 2 * half / MICROS))
+    points = known(readings, layout).select(
+        key, F.col(layout.time).alias("_at"), *signals,
+        F.lit(0).alias("_probe"), time_bin(F.col(layout.time), cell_seconds).alias("_cell"),
     )
-    near = rows_in(points, probes, cell).withColumn("_probe", F.lit(0))
+    near = rows_in(points, probes, cell)
     line = near.unionByName(probes, allowMissingColumns=True)
     chunked = 2 * half > chunk_seconds * MICROS
     if chunked:

@@ -24,13 +24,13 @@ def _nearest_wide(
     key = layout.entity
     chunk = [key, "_chunk"]
     probes = event_moments(events, layout).select(
-        key, F.col("event_time").alias("_at"), F.lit(1).alias("_probe")
+        key, F.col("event_time").alias("_at"), F.lit(1).alias("_probe"),
+        time_bin(F.col("event_time"), chunk_seconds).alias("_chunk"),
     )
     points = known(readings, layout).select(
-        key, F.col(layout.time).alias("_at"), F.lit(0).alias("_probe"), *signals
+        key, F.col(layout.time).alias("_at"), F.lit(0).alias("_probe"), *signals,
+        time_bin(F.col(layout.time), chunk_seconds).alias("_chunk"),
     )
-    probes = probes.withColumn("_chunk", time_bin(F.col("_at"), chunk_seconds))
-    points = points.withColumn("_chunk", time_bin(F.col("_at"), chunk_seconds))
 
     def seen(s: str):
         return F.when(F.col(s).isNotNull(), F.col("_at"))

@@ -8,6 +8,9 @@ same linear interpolation between neighbouring ranks.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +38,7 @@ def group_quantiles(
     """
     rows = df.select(*keys, F.col(value).alias("_value"))
     # Asking for all keys up front keeps both uses of the counts below one and the same shuffle.
-    for column in rows.columns:
-        rows = rows.where(F.col(column).isNotNull())
+    rows = rows.where(reduce(and_, (F.col(column).isNotNull() for column in rows.columns)))
     if approx:
         return rows.groupBy(*keys).agg(
             *(F.percentile_approx("_value", p, 10_000).alias(name) for name, p in quantiles.items())
@@ -54,8 +56,10 @@ def group_quantiles(
     bands = (
         counted.groupBy(*keys, "_band")
         .agg(F.sum("_n").alias("_band_n"))
-        .withColumn("_upto", F.sum("_band_n").over(along))
-        .withColumn("_total", F.sum("_band_n").over(Window.partitionBy(*keys)))
+        .withColumns({
+            "_upto": F.sum("_band_n").over(along),
+            "_total": F.sum("_band_n").over(Window.partitionBy(*keys)),
+        })
     )
     ranks, holds = [], F.lit(False)
     for i, p in enumerate(quantiles.values()):
@@ -72,14 +76,12 @@ def group_quantiles(
     inside = (
         Window.partitionBy(*keys, "_band").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
     )
-    ranked = (
-        counted.join(wanted, [*keys, "_band"])
-        .withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
+    ranked = counted.join(wanted, [*keys, "_band"]).withColumn(
+        "_end", F.col("_before") + F.sum("_n").over(inside)
     )
 
     def at(rank: str) -> Column:
-        covers = (F.col("_start") <= F.col(rank)) & (F.col(rank) < F.col("_end"))
+        covers = (F.col("_end") - F.col("_n") <= F.col(rank)) & (F.col(rank) < F.col("_end"))
         return F.max(F.when(covers, F.col("_value")))
 
     parts = []

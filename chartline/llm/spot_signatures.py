@@ -1,7 +1,8 @@
 """Document fingerprints from spot signatures.
 
 A spot is a common word (an anchor) of the text; its signature is the chain of the next two content words,
-skipping other common words. The fingerprint is the set of the signatures' 32-bit hashes, so edits elsewhere
+skipping other common words. Lists and tables have no common words, so one content word in RARE, chosen by
+hash, is an anchor as well. The fingerprint is the set of the signatures' 32-bit hashes, so edits elsewhere
 leave it alone and pages that differ in what surrounds an article agree on the article. A text without
 anchors takes a chain at every content word; one with too few words for a chain is one signature of its own,
 and only the empty text has none.
@@ -37,6 +38,7 @@ COMMON = (
     " se si sin sobre su sus también tiene todo una uno y ya"
 ).split()
 CHAIN = 2
+RARE = 8
 PRUNE = 1.25
 FLOOR = 0.02
 
@@ -51,7 +53,9 @@ def signatures(rows: DataFrame, text: str, out: str) -> DataFrame:
         "_a": F.filter(F.transform("_w", lambda w, k: F.when(w.isin(*COMMON), k)), lambda k: k.isNotNull()),
     })
     chains = F.size("_c") - (CHAIN - 1)
-    at_spots = split.withColumn("_s", F.filter(F.array_distinct(F.transform("_a", lambda k, before: k - before)), lambda k: k < chains))
+    after_anchor = F.transform("_a", lambda k, before: k - before)
+    after_rare = F.filter(F.transform("_c", lambda w, k: F.when(F.pmod(F.xxhash64(w), F.lit(RARE)) == 0, k + 1)), lambda k: k.isNotNull())
+    at_spots = split.withColumn("_s", F.filter(F.array_union(after_anchor, after_rare), lambda k: k < chains))
     spots = F.when(F.size("_s") > 0, F.col("_s")).when(chains > 0, F.sequence(F.lit(0), chains - 1)).otherwise(F.array().cast("array<int>"))
     chosen = at_spots.withColumn("_s", spots)
     hashes = F.transform("_s", lambda k: F.shiftrightunsigned(F.xxhash64(*(F.get("_c", k + j) for j in range(CHAIN))), 32))
@@ -107,26 +111,28 @@ def compare_edited(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
     The edited text has its last quarter of characters replaced by as many from the front of the next text.
     """
+    kind = docs.schema[key].dataType
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    keyed = rows.withColumn("mark", F.xxhash64("t"))
-    prior = neighbours(rows, "key", "t")
-    # Null ids are joined as a value of their own.
-    def named(df: DataFrame, column: str, as_: str) -> DataFrame:
-        return df.withColumns({f"{as_}_none": F.col(column).isNull(), f"{as_}_id": F.coalesce(F.col(column).cast("string"), F.lit(""))})
-
-    on = ["k_none", "k_id", "mark"]
-    keyed = named(keyed, "key", "k")
-    once = Window.partitionBy(*on).orderBy("key")
-    numbered = signatures(keyed, "t", "sig").withColumn("copy", F.row_number().over(once))
-    prior = named(prior, "key", "k").select(*on, "before_key", "before_mark", "before_n")
-    given = numbered.where("copy = 1").join(prior, on)
-    given = named(given, "before_key", "b").select(
-        F.col("b_none").alias("k_none"), F.col("b_id").alias("k_id"), F.col("before_mark").alias("mark"),
+
+    def place(column: str, prefix: str) -> list[Column]:
+        """A key as two columns that join like any value, null too."""
+        return [F.col(column).isNull().alias(f"{prefix}none"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias(f"{prefix}id")]
+
+    on = ["none", "id", "mark"]
+    # The texts are dealt out once, by id; both sides of the second join read that same exchange. A running
+    # count, not a rank, tells repeated rows apart: for a rank the two sides would be dealt out differently.
+    once = Window.partitionBy(*on).orderBy("none").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dealt = rows.select(*place("key", ""), F.xxhash64("t").alias("mark"), "t").withColumn("copy", F.count(F.lit(1)).over(once))
+    prior = neighbours(rows, "key", "t").select(*place("key", ""), "mark", *place("before_key", "b_"), "before_mark", "before_n")
+    given = signatures(dealt.where("copy = 1").join(prior, on), "t", "sig").select(
+        F.col("b_none").alias("none"), F.col("b_id").alias("id"), F.col("before_mark").alias("mark"),
         F.substring("t", F.lit(1), F.floor(F.col("before_n") / 4).cast("int")).alias("patch"), F.col("sig").alias("next_sig"),
     )
-    paired = numbered.join(given, on).withColumn("n_chars", F.char_length("t"))
+    paired = signatures(dealt.join(given, on), "t", "sig").withColumn("n_chars", F.char_length("t"))
     kept = F.substring("t", F.lit(1), F.col("n_chars") - F.floor(F.col("n_chars") / 4).cast("int"))
-    texts = paired.select("key", "n_chars", "sig", "next_sig", F.concat(kept, "patch").alias("edited"))
+    texts = paired.select(
+        F.when(~F.col("none"), F.col("id")).cast(kind).alias("key"), "n_chars", "sig", "next_sig", F.concat(kept, "patch").alias("edited")
+    )
     both = signatures(texts, "edited", "edited_sig")
     return both.select(
         F.col("key").alias(key), F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),

@@ -6,13 +6,14 @@ are computed on that buffer with numpy, in slices of bounded size; no Python str
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -132,6 +133,30 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(kept)
 
 
+def release() -> None:
+    """Give memory that arrays no longer use back to the system: Spark keeps Python workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """A mapInArrow function that releases memory after each batch and at its end."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            release()
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(parts(batches))
+        release()
+
+    return wrapped
+
+
 def durable(spark: SparkSession) -> None:
     """checkpoint() needs a folder that all executors share; the cluster names it in spark.checkpoint.dir.
 

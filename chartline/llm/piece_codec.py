@@ -31,7 +31,7 @@ from chartline.llm import flat
 SPACE = "▁"
 _SPACE_BYTES = SPACE.encode()
 _NONE = np.int64(1 << 40)
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 3 << 20
 BLOCK_BYTES = 1 << 18
 _BITS = 19
 
@@ -311,7 +311,7 @@ def encode(docs: DataFrame, model: str, *, text: str = "text", out: str = "ids")
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(flat.tidy(run), schema)
 
 
 def decode(rows: DataFrame, model: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -329,10 +329,30 @@ def decode(rows: DataFrame, model: str, *, ids: str = "ids", out: str = "decoded
             for a, b in flat.slices(offsets, SLICE_BYTES // 4):
                 text, edges = decode_rows(pieces(model), values[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 part = batch.slice(a, b - a)
-                texts = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(edges.astype(np.int64).tobytes()), pa.py_buffer(text.tobytes()))
-                yield pa.RecordBatch.from_arrays([*part.columns, texts.cast(pa.string())], names=[*part.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, _texts(text, edges)], names=[*part.schema.names, out])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(flat.tidy(run), schema)
+
+
+def recode(docs: DataFrame, model: str, *, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """encode() and decode() in one pass, so that a task needs one Python worker: all rows and columns, ids, decoded."""
+    docs = docs.drop(ids, out)
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(out, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in _slices(batches, text):
+            p = pieces(model)
+            found, bounds = encode_rows(p, data, offsets)
+            back, edges = decode_rows(p, found, bounds)
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*part.columns, lists, _texts(back, edges)], names=schema.names)
+
+    return docs.mapInArrow(flat.tidy(run), schema)
+
+
+def _texts(raw: np.ndarray, edges: np.ndarray) -> pa.Array:
+    buffers = pa.py_buffer(edges.astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())
+    return pa.LargeStringArray.from_buffers(len(edges) - 1, *buffers).cast(pa.string())
 
 
 def digests(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -358,7 +378,7 @@ def digests(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str =
                 pa.array([sha256(back[cuts[k] : cuts[k + 1]]).hexdigest() for k in range(n)], pa.string()),
             ], names=schema.names)
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return docs.select(doc_id, text).mapInArrow(flat.tidy(run), schema)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], text: str):

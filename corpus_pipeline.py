@@ -52,7 +52,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, and the text that they decode to."""
-    coded = piece_codec.decode(piece_codec.encode(docs.select(*COLUMNS), piece_model()), piece_model())
+    coded = piece_codec.recode(docs.select(*COLUMNS), piece_model())
     return coded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 

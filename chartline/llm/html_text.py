@@ -11,8 +11,8 @@ Paragraphs of an article never count as template: a site may hold many copies of
 
 At scale: rows of (host, subtree) are counted after a partial count on each task, so a large host is split
 by subtree. The templates of a host are at most (subtrees of a page / ratio) hashes, since each is on that
-share of its pages. They meet the pages by an ordinary join on the host, which is split where a host is
-large; the small counts are never broadcast by hand.
+share of its pages. They meet the pages by a join on the host and one of SALTS parts of it, chosen by url, so
+that a host with a third of all pages is dealt out too; the small counts are never broadcast by hand.
 
 Null or empty html gives the empty text. A null url, or one without a host, counts as the host ''.
 """
@@ -29,8 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chartline.llm.flat import tidy
+
 MIN_PAGES = 8
 RATIO = 0.3
+SALTS = 64
 
 # HTML's element kinds.
 INLINE = frozenset(
@@ -234,7 +237,7 @@ def templates(pages: DataFrame, *, url: str = "url", html: str = "html", min_pag
             found = [sorted(set(parse(page.as_py())[1])) if page.is_valid else [] for page in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["host", "trees"])
 
-    trees = rows.mapInArrow(hashes, "host string, trees array<bigint>")
+    trees = rows.mapInArrow(tidy(hashes), "host string, trees array<bigint>")
     counts = trees.select("host", F.explode("trees").alias("tree")).groupBy("host", "tree").agg(F.count("*").alias("n"))
     totals = rows.groupBy("host").agg(F.count("*").alias("pages"))
     recurring = counts.where(F.col("n") >= min_pages).join(totals, "host").where(F.col("n") >= ratio * F.col("pages"))
@@ -244,9 +247,12 @@ def templates(pages: DataFrame, *, url: str = "url", html: str = "html", min_pag
 def extract(pages: DataFrame, *, url: str = "url", html: str = "html", out: str = "main_text", min_pages: int = MIN_PAGES, ratio: float = RATIO) -> DataFrame:
     """All rows and the columns of pages without html, and the main text. A column named like `out` is replaced."""
     found = templates(pages, url=url, html=html, min_pages=min_pages, ratio=ratio)
-    found = found.withColumnsRenamed({"host": "_host", "template": "_template"})
-    rows = pages.drop(out, "_host", "_template")
-    joined = rows.join(found, host_of(url) == F.col("_host"), "left").drop("_host")
+    found = found.select(
+        F.col("host").alias("_host"), F.col("template").alias("_template"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt")
+    )
+    rows = pages.drop(out, "_host", "_template", "_salt")
+    salt = F.pmod(F.xxhash64(url), F.lit(SALTS))
+    joined = rows.join(found, (host_of(url) == F.col("_host")) & (salt == F.col("_salt")), "left").drop("_host", "_salt")
     kept = [f for f in rows.schema.fields if f.name != html]
     schema = T.StructType([*kept, T.StructField(out, T.StringType())])
 
@@ -261,4 +267,4 @@ def extract(pages: DataFrame, *, url: str = "url", html: str = "html", out: str
             columns = [batch.column(names.index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*(f.name for f in kept), out])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)

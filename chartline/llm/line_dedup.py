@@ -10,7 +10,8 @@ Repeated rows are treated alike. No rows are dropped.
 
 Counts are made per (host, line) after a partial count on each task, so a host with a third of all pages is
 split by line. The boilerplate of a host is at most (lines of a page / ratio) hashes, as each is on that share
-of its pages. It meets the pages by an ordinary join on the host, which is split where a host is large.
+of its pages. It meets the pages by a join on the host and one of SALTS parts of it, chosen by text, so that a
+host with a third of all pages is dealt out too.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 MIN_PAGES = 10
 RATIO = 0.05
+SALTS = 64
 
 
 def boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", min_pages: int = MIN_PAGES, ratio: float = RATIO) -> DataFrame:
@@ -41,9 +43,11 @@ def drop_boilerplate(
     n_lines: str = "n_lines", n_dropped: str = "n_dropped",
 ) -> DataFrame:
     """All rows and columns of docs with the text without boilerplate lines, and two counts (of that name, replaced)."""
-    found = boilerplate(docs, host=host, text=text, min_pages=min_pages, ratio=ratio).select(F.col("host").alias("_of"), F.col("lines").alias("_gone"))
-    rows = docs.drop(n_lines, n_dropped, "_of", "_gone", "_lines", "_kept")
-    joined = rows.join(found, F.col(host).eqNullSafe(F.col("_of")), "left")
+    found = boilerplate(docs, host=host, text=text, min_pages=min_pages, ratio=ratio).select(
+        F.col("host").alias("_of"), F.col("lines").alias("_gone"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt")
+    )
+    rows = docs.drop(n_lines, n_dropped, "_of", "_gone", "_salt", "_lines", "_kept")
+    joined = rows.join(found, F.col(host).eqNullSafe(F.col("_of")) & (F.pmod(F.xxhash64(text), F.lit(SALTS)) == F.col("_salt")), "left")
     lines = joined.withColumn("_lines", F.split(F.col(text), "\n"))
     kept = lines.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(
         F.filter("_lines", lambda line: (line == "") | ~F.array_contains("_gone", F.xxhash64(line)))
@@ -53,7 +57,7 @@ def drop_boilerplate(
         n_lines: F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long"),
         n_dropped: F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long"),
     })
-    return sized.drop("_of", "_gone", "_lines", "_kept")
+    return sized.drop("_of", "_gone", "_salt", "_lines", "_kept")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

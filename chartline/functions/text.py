@@ -13,6 +13,7 @@ EPOCH_MILLIS_FROM = 100_000_000_000
 EPOCH_MILLIS_MAX = 253_402_300_799_999
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_ZONED = r"(?i):[0-9.]+ ?(z|utc|gmt|ut|(utc|gmt|ut)?[+-][0-9]{1,2}(:?[0-9]{2}){0,2}|[a-z]+/[a-z_/]+)$"
 _INFINITY = r"^[+-]?inf(inity)?$"
 
 
@@ -35,7 +36,10 @@ def parse_timestamp(text) -> Column:
     scale = F.when(F.abs(epoch) >= EPOCH_MILLIS_FROM, 1000).otherwise(1_000_000)
     micros = F.floor(epoch * scale).cast("bigint")
     from_epoch = F.when(F.abs(epoch) <= EPOCH_MILLIS_MAX, from_epoch_micros(micros))
-    return F.when(trimmed.rlike(_NUMBER), from_epoch).otherwise(trimmed.try_cast("timestamp_ntz"))
+    # With a zone of its own a text names an instant, which epochs are too: both become UTC.
+    zoned = F.when(trimmed.rlike(_ZONED), from_epoch_micros(F.unix_micros(trimmed.try_cast("timestamp"))))
+    local = F.when(~trimmed.rlike(_ZONED), trimmed.try_cast("timestamp_ntz"))
+    return F.when(trimmed.rlike(_NUMBER), from_epoch).otherwise(F.coalesce(zoned, local))
 
 
 def interval_label(seconds) -> Column:

@@ -21,9 +21,9 @@ from chartline.functions.times import (
 from chartline.layout import PATIENTS, Layout
 from chartline.operators.quantiles import group_quantiles
 from chartline.operators.select import known, turned_long
-from chartline.sizing import broadcast_if_small, stored, task_count
+from chartline.sizing import task_count
 
-# Readings above which raw output is resampled, and points aimed at by auto mode.
+# Readings above which the raw report warns, and points aimed at by auto mode.
 MAX_RAW_POINTS = 200_000
 DOWNSAMPLE_TARGET = 10_000
 # Auto mode takes the width in the second place while span / target is below the first.
@@ -94,10 +94,13 @@ def auto_granularity(readings: DataFrame, layout: Layout = PATIENTS) -> DataFram
 def raw_guard(
     readings: DataFrame, signals=None, limit: int = MAX_RAW_POINTS, layout: Layout = PATIENTS
 ) -> DataFrame:
-    """Per entity: number of non-null readings and whether raw output falls back to auto width."""
+    """Per entity: number of non-null readings and whether they are over the limit.
+
+    A report only: raw output returns every row whatever it says; the caller chooses raw or auto by it.
+    """
     spans = _spans(known(readings, layout), layout.present(readings, signals), layout)
     return spans.select(
-        layout.entity, F.col("_points").alias("points"), (F.col("_points") > limit).alias("resampled")
+        layout.entity, F.col("_points").alias("points"), (F.col("_points") > limit).alias("over_limit")
     )
 
 
@@ -110,7 +113,6 @@ def resample(
     signals=None,
     dense: bool = True,
     approx: bool = False,
-    raw_limit: int = MAX_RAW_POINTS,
     layout: Layout = PATIENTS,
 ) -> DataFrame:
     """Readings brought to regular time bins, per entity.
@@ -119,8 +121,8 @@ def resample(
     ``median``. Bins are closed on the left, labelled by their start and counted from midnight of the
     entity's first day. Every bin between the first and last row is returned unless ``dense`` is off,
     and empty ones are null or, with ``ffill``, carry the last value. ``show_band`` adds the 10th and
-    90th percentile per signal. Raw output has no bands; entities above ``raw_limit`` readings are
-    resampled by auto width instead. ``approx`` answers medians and bands from a bounded sketch.
+    90th percentile per signal. Raw output is every row as it is, without bands, at any size.
+    ``approx`` answers medians and bands from a bounded sketch.
     """
     if aggregation not in ("mean", "median"):
         raise ValueError(f"unknown aggregation {aggregation!r}: use mean or median")
@@ -131,25 +133,16 @@ def resample(
     options = (signals, aggregation, show_band, ffill, dense, approx, layout)
 
     if granularity == "raw":
-        spans = stored(_spans(rows, signals, layout))
-        large = broadcast_if_small(spans.where(F.col("_points") > raw_limit).select(layout.entity))
-        raw = rows.join(large, layout.entity, "left_anti")
-        resampled = _resample_varying(
-            rows.join(large, layout.entity, "left_semi"),
-            spans.where(F.col("_points") > raw_limit),
-            auto_width(seconds_between(F.col("_first"), F.col("_final"))),
-            *options,
-        )
-        return raw.unionByName(resampled, allowMissingColumns=True)
+        return rows
 
     if granularity == "auto":
-        spans = stored(_spans(rows, [], layout))
+        spans = _spans(rows, [], layout)
         width = auto_width(seconds_between(F.col("_first"), F.col("_final")))
         return _resample_varying(rows, spans, width, *options)
 
     seconds = width_seconds(granularity)
     if not divides_day(seconds):
-        spans = stored(_spans(rows, [], layout))
+        spans = _spans(rows, [], layout)
         return _resample_varying(rows, spans, F.lit(seconds).cast("bigint"), *options)
 
     # Widths that divide a day need nothing from other rows: midnight bins are the same for all.
@@ -162,7 +155,11 @@ def resample(
 
 
 def _resample_varying(rows, spans, width: Column, *options) -> DataFrame:
-    """Resample with a start and width of its own for each entity."""
+    """Resample with a start and width of its own for each entity.
+
+    Rows meet their entity's width per day, so a large entity is dealt out over its days; the aggregate
+    behind the join is keyed by bin and deals the rows out again.
+    """
     layout = options[-1]
     dense = options[4]
     plans = spans.select(
@@ -170,9 +167,12 @@ def _resample_varying(rows, spans, width: Column, *options) -> DataFrame:
         day_start(F.col("_first")).alias("_origin"),
     )
     offset = floor_micros(micros_between(F.col("_origin"), F.col(layout.time)), F.col("_width"))
-    binned = rows.join(
-        broadcast_if_small(plans.select(layout.entity, "_origin", "_width")), layout.entity
-    ).withColumn("_bin", add_micros(F.col("_origin"), offset))
+    days = F.sequence(F.to_date("_first"), F.to_date("_final"))
+    daily = plans.select(layout.entity, "_origin", "_width", F.explode(days).alias("_day"))
+    binned = (
+        rows.withColumn("_day", F.to_date(layout.time)).join(daily, [layout.entity, "_day"])
+        .withColumn("_bin", add_micros(F.col("_origin"), offset)).drop("_day")
+    )
     grid = None
     if dense:
         from_origin = floor_micros(micros_between(F.col("_origin"), F.col("_first")), F.col("_width"))

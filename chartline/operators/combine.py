@@ -44,6 +44,6 @@ def dedupe_readings(df: DataFrame, order_by: list, layout: Layout = PATIENTS) ->
 
 
 def sorted_readings(df: DataFrame, layout: Layout = PATIENTS) -> DataFrame:
-    """Rows ordered by entity, then time."""
-    when = layout.time if layout.time in df.columns else layout.event_time
+    """Rows ordered by entity, then time; an interval event without a time of its own by its start."""
+    when = F.col(layout.time) if layout.time in df.columns else layout.event_time_of(df)
     return df.orderBy(layout.entity, when)

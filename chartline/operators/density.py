@@ -21,7 +21,7 @@ def event_density(
     """Events per hour or day bin and entity, with zeros for empty bins.
 
     With ``start`` and ``end`` the axis covers that range for every entity of ``patients`` (default:
-    those with events), and events outside it drop. Otherwise it runs from an entity's first event to
+    those with events); events outside it, or of other entities, drop. Otherwise it runs from an entity's first event to
     its last. The axis starts at the bin that holds the start.
     """
     if bin_size not in DENSITY_BIN_SECONDS:
@@ -35,6 +35,8 @@ def event_density(
         shown = (events if patients is None else patients).select(key).where(F.col(key).isNotNull())
         axis = shown.distinct().select(key, ntz(start).alias("_first"), ntz(end).alias("_final"))
         happened = happened.where(F.col("_at").between(ntz(start), ntz(end)))
+        if patients is not None:
+            happened = happened.join(shown.distinct(), key, "left_semi")
     else:
         axis = happened.groupBy(key).agg(F.min("_at").alias("_first"), F.max("_at").alias("_final"))
     grid = bin_grid(

@@ -9,7 +9,7 @@ from chartline.functions.times import MICROS, add_micros, micros_between, time_b
 from chartline.layout import PATIENTS, Layout
 from chartline.operators.context import event_moments
 from chartline.operators.select import known
-from chartline.sizing import broadcast_if_small, rows_in, stored
+from chartline.sizing import rows_in
 
 
 def _nearest_wide(
@@ -150,13 +150,13 @@ def flag_event_rows(
     near = rows_in(
         present.withColumn("_chunk", time_bin(F.col(layout.time), chunk_seconds)), reached, chunk
     )
-    hits = stored(
+    hits = (
         _nearest_wide(near, events, ["_row"], layout, chunk_seconds)
         .where(F.col("_row.distance_seconds") < tolerance_seconds)
         .select(layout.entity, F.col("_row.nearest_time").alias(layout.time))
         .distinct()
         .withColumn(flag, F.lit(1))
     )
-    return readings.drop(flag).join(broadcast_if_small(hits), keys, "left").withColumn(
+    return readings.drop(flag).join(hits, keys, "left").withColumn(
         flag, F.coalesce(F.col(flag), F.lit(0))
     )

@@ -1,21 +1,25 @@
 """Exact grouped quantiles that stay distributed for groups of any size.
 
 The built-in exact percentile keeps every distinct value of a group in one task. Here a group is
-split by value instead: equal values are counted before the shuffle, counts are summed over coarse
-value bands, and only the bands that hold a wanted rank are ranked row by row. The result is the
-same linear interpolation between neighbouring ranks.
+split by value instead: equal values are counted before the shuffle and counts are summed over coarse
+value bands. The bands that hold a wanted rank are divided again, evenly over the values they really
+hold, and only the parts that hold a wanted rank are ranked row by row. The first division follows the
+size of the values, whatever their spread; the second follows their spread, whatever their size, so
+values far from zero are split too. The result is the same linear interpolation between ranks.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Bands per doubling of the value, so one band spans about 0.07 % of it.
 _BANDS = 1024
+# Parts of a band that holds a wanted rank.
+_PARTS = 4096
 # Puts the band of the smallest positive double above zero.
 _BAND_OFFSET = 1100 * _BANDS
 # Above the band of the largest double.
@@ -28,6 +32,15 @@ def _band(value: Column) -> Column:
     return F.coalesce(F.when(value > 0, size).when(value < 0, -size), F.lit(0).cast("bigint"))
 
 
+def _rank_names(quantiles: dict[str, float]) -> list[str]:
+    return [f"{name}{i}" for i in range(len(quantiles)) for name in ("_low", "_high", "_part")]
+
+
+def _holds(ranks: list[Column], start: Column, end: Column) -> Column:
+    """Whether any of the ranks lies in [start, end)."""
+    return reduce(or_, ((start <= rank) & (rank < end) for rank in ranks))
+
+
 def group_quantiles(
     df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], approx: bool = False
 ) -> DataFrame:
@@ -55,28 +68,40 @@ def group_quantiles(
     along = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)
     bands = (
         counted.groupBy(*keys, "_band")
-        .agg(F.sum("_n").alias("_band_n"))
+        .agg(F.sum("_n").alias("_band_n"), F.min("_value").alias("_least"), F.max("_value").alias("_most"))
         .withColumns({
             "_upto": F.sum("_band_n").over(along),
             "_total": F.sum("_band_n").over(Window.partitionBy(*keys)),
         })
     )
-    ranks, holds = [], F.lit(False)
+    ranks, wanted_ranks = [], []
     for i, p in enumerate(quantiles.values()):
         position = (F.col("_total") - 1) * F.lit(float(p))
         low, high = F.floor(position), F.ceil(position)
         ranks += [low.alias(f"_low{i}"), high.alias(f"_high{i}"), (position - low).alias(f"_part{i}")]
-        before = F.col("_upto") - F.col("_band_n")
-        for rank in (low, high):
-            holds = holds | ((before <= rank) & (rank < F.col("_upto")))
-    wanted = bands.where(holds).select(
-        *keys, "_band", (F.col("_upto") - F.col("_band_n")).alias("_before"), *ranks
+        wanted_ranks += [low, high]
+    wanted = bands.where(_holds(wanted_ranks, F.col("_upto") - F.col("_band_n"), F.col("_upto"))).select(
+        *keys, "_band", "_least", "_most", (F.col("_upto") - F.col("_band_n")).alias("_start"), *ranks
     )
 
+    # The same again inside these bands.
+    share = F.try_divide(F.col("_value") - F.col("_least"), F.col("_most") - F.col("_least"))
+    part = F.when((share > 0) & (share <= 1), F.floor(share * _PARTS)).otherwise(0).cast("int")
+    parted = counted.join(wanted, [*keys, "_band"]).withColumn("_part", part)
+    upto = Window.partitionBy(*keys, "_band").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = (
+        parted.groupBy(*keys, "_band", "_part")
+        .agg(F.sum("_n").alias("_part_n"), *(F.first(c).alias(c) for c in _rank_names(quantiles)), F.first("_start").alias("_start"))
+        .withColumn("_upto", F.col("_start") + F.sum("_part_n").over(upto))
+    )
+    names = [F.col(c) for c in _rank_names(quantiles) if not c.startswith("_part")]
+    chosen = parts.where(_holds(names, F.col("_upto") - F.col("_part_n"), F.col("_upto"))).select(
+        *keys, "_band", "_part", (F.col("_upto") - F.col("_part_n")).alias("_before")
+    )
     inside = (
-        Window.partitionBy(*keys, "_band").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*keys, "_band", "_part").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
     )
-    ranked = counted.join(wanted, [*keys, "_band"]).withColumn(
+    ranked = parted.join(chosen, [*keys, "_band", "_part"]).withColumn(
         "_end", F.col("_before") + F.sum("_n").over(inside)
     )
 
@@ -84,11 +109,11 @@ def group_quantiles(
         covers = (F.col("_end") - F.col("_n") <= F.col(rank)) & (F.col(rank) < F.col("_end"))
         return F.max(F.when(covers, F.col("_value")))
 
-    parts = []
+    found = []
     for i in range(len(quantiles)):
-        parts += [at(f"_low{i}").alias(f"_lo{i}"), at(f"_high{i}").alias(f"_hi{i}"),
+        found += [at(f"_low{i}").alias(f"_lo{i}"), at(f"_high{i}").alias(f"_hi{i}"),
                   F.max(f"_part{i}").alias(f"_w{i}")]
-    return ranked.groupBy(*keys).agg(*parts).select(
+    return ranked.groupBy(*keys).agg(*found).select(
         *keys,
         *(
             (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}")).alias(name)

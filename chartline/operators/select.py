@@ -23,7 +23,7 @@ def filter_time_range(df: DataFrame, start, end, layout: Layout = PATIENTS) -> D
     names = [layout.time] if layout.time in df.columns else [layout.event_time, layout.event_start]
     columns = [F.col(c) for c in names if c in df.columns]
     if not columns:
-        return df.limit(0)
+        raise ValueError(f"no time column to filter on: none of {', '.join(names)} in {', '.join(df.columns)}")
     within = columns[0].between(first, last)
     if len(columns) == 2:
         # Spelled out rather than with coalesce, so that it reaches the scan.

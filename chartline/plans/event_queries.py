@@ -1,7 +1,8 @@
 """Every operator applied to the ``events`` table, one query per operator.
 
 Users stand in for patients, the four event types other than ``error`` for signals, and ``error``
-rows for the events. Every query reads the whole table.
+rows for the events. Every query reads the whole table; a query narrows it only where a filter is what
+it shows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ USERS = Layout(entity="user_id", time="ts", signals=SIGNALS)
 UPLOAD = Layout(signals=SIGNALS)
 
 RANGE = (dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 25, 23, 59, 59, 999999))
+# All that the table covers.
+MONTH = (dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 31, 23, 59, 59, 999999))
 LIMITS = {"click": (5, 50), "view": (None, 60), "purchase": (10, None), "signup": (2, 80)}
 WINDOW_MINUTES = 360
 RAW_LIMIT = 50
@@ -308,9 +311,7 @@ def dataset_totals(spark, sf_dir):
 
 @query
 def summary_cards(spark, sf_dir):
-    own = select.filter_time_range(readings(spark, sf_dir), *RANGE, layout=USERS)
-    events = select.filter_time_range(happened(spark, sf_dir), *RANGE, layout=USERS)
-    return summaries.summary_cards(own, events, *RANGE, layout=USERS)
+    return summaries.summary_cards(readings(spark, sf_dir), happened(spark, sf_dir), *MONTH, layout=USERS)
 
 
 # Time bins.
@@ -335,12 +336,16 @@ def resample_band(spark, sf_dir):
 def resample_ffill(spark, sf_dir):
     return rounded(
         bins.resample(
-            readings(spark, sf_dir), "6h", "median", show_band=True, ffill=True,
-            signals=("click", "view"), layout=USERS,
+            readings(spark, sf_dir), "6h", "median", show_band=True, ffill=True, layout=USERS,
         )
     )
 
 
+@query
+def resample_two_signals(spark, sf_dir):
+    return rounded(bins.resample(readings(spark, sf_dir), "6h", signals=("click", "view"), layout=USERS))
+
+
 @query
 def resample_custom_width(spark, sf_dir):
     return rounded(bins.resample(readings(spark, sf_dir), "5h", layout=USERS))
@@ -353,11 +358,7 @@ def resample_auto(spark, sf_dir):
 
 @query
 def resample_raw(spark, sf_dir):
-    return rounded(
-        bins.resample(
-            readings(spark, sf_dir), "raw", "median", dense=False, raw_limit=RAW_LIMIT, layout=USERS
-        )
-    )
+    return rounded(bins.resample(readings(spark, sf_dir), "raw", "median", layout=USERS))
 
 
 @query
@@ -382,11 +383,18 @@ def auto_granularity(spark, sf_dir):
 def event_density_hour(spark, sf_dir):
     return rounded(
         density.event_density(
-            happened(spark, sf_dir), "hour", *RANGE, table(spark, sf_dir).select("user_id"), USERS
+            happened(spark, sf_dir), "hour", *MONTH, table(spark, sf_dir).select("user_id"), USERS
         )
     )
 
 
+@query
+def event_density_some(spark, sf_dir):
+    """An axis for the users with clicks only; events of others do not show."""
+    clicked = table(spark, sf_dir).where("event_type = 'click'").select("user_id")
+    return rounded(density.event_density(happened(spark, sf_dir), "day", *MONTH, clicked, USERS))
+
+
 @query
 def event_density_day(spark, sf_dir):
     return rounded(density.event_density(happened(spark, sf_dir), "day", layout=USERS))
@@ -491,6 +499,5 @@ def breach_counts(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly mean of every signal per user over most of the month, on a dense grid."""
-    month = select.filter_time_range(readings(spark, sf_dir), *RANGE, layout=USERS)
-    return rounded(bins.resample(month, "1h", layout=USERS))
+    """Hourly mean of every signal per user, on a dense grid."""
+    return rounded(bins.resample(readings(spark, sf_dir), "1h", layout=USERS))

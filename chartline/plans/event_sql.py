@@ -5,6 +5,8 @@ from __future__ import annotations
 SIGNALS = ("click", "view", "purchase", "signup")
 START = "timestamp '2024-01-05 00:00:00'"
 END = "timestamp '2024-01-25 23:59:59.999999'"
+FIRST = "timestamp '2024-01-01 00:00:00'"
+LAST = "timestamp '2024-01-31 23:59:59.999999'"
 ORIGIN = "timestamp '1970-01-01'"
 
 _CASES = ", ".join(f"case when event_type = '{s}' then value end as {s}" for s in SIGNALS)
@@ -238,10 +240,8 @@ select (select count(*) from readings) as reading_rows, (select count(*) from ha
 _EXACT = "cast(round(cast({x} as decimal(38, 9)), {d}) as double)"
 ORACLE["summary_cards"] = (
     _with(
-        f"inside as (select * from events where ts between {START} and {END})",
-        USERS.replace("from events", "from inside"),
-        EVERYONE, SIGNAL_LIST, LONG.replace("from events", "from inside"), _STATS, HAPPENED,
-        _RATES.format(span=_SPAN_RANGE, cond=_IN_RANGE),
+        USERS, EVERYONE, SIGNAL_LIST, LONG, _STATS, HAPPENED,
+        _RATES.format(span=_SPAN_RANGE.replace(START, FIRST).replace(END, LAST), cond=""),
     )
     + f"""
 select user_id, signal, {_EXACT.format(x='mean', d=1)} as mean, {_EXACT.format(x='lo', d=1)} as min,
@@ -265,16 +265,18 @@ _BANDS = (
 ORACLE["resample_band"] = _with(READINGS, _grid(86400), _binned(86400)) + f"""
 select g.user_id, g.bin as ts, {_MEANS}, {_each(_BANDS)}
 from grid g left join binned b on b.user_id = g.user_id and b.bin = g.bin group by g.user_id, g.bin"""
-_TWO = ("click", "view")
+ORACLE["resample_two_signals"] = _with(READINGS, _grid(21600), _binned(21600)) + f"""
+select g.user_id, g.bin as ts, {_each('round(avg({s}), 6) as {s}', ("click", "view"))}
+from grid g left join binned b on b.user_id = g.user_id and b.bin = g.bin group by g.user_id, g.bin"""
 _FILLED = ", ".join(
     f"last_value({c} ignore nulls) over (partition by user_id order by ts"
     f" rows between unbounded preceding and current row) as {c}"
-    for s in _TWO
+    for s in SIGNALS
     for c in (s, f"{s}_p10", f"{s}_p90")
 )
 ORACLE["resample_ffill"] = _with(READINGS, _grid(21600), _binned(21600)) + f"""
 select user_id, ts, {_FILLED} from (
-  select g.user_id, g.bin as ts, {_each('round(median({s}), 6) as {s}', _TWO)}, {_each(_BANDS, _TWO)}
+  select g.user_id, g.bin as ts, {_each('round(median({s}), 6) as {s}')}, {_each(_BANDS)}
   from grid g left join binned b on b.user_id = g.user_id and b.bin = g.bin group by g.user_id, g.bin)"""
 ORACLE["resample_custom_width"] = _with(
     READINGS, _SPANS,
@@ -290,16 +292,11 @@ from grid g left join binned b on b.user_id = g.user_id and b.bin = g.bin group
 ORACLE["resample_auto"] = _with(READINGS, _SPANS) + f"""
 select user_id, {_anchored('width')} as ts, {_MEANS}
 from readings join spans using (user_id) group by user_id, {_anchored('width')}"""
-ORACLE["resample_raw"] = _with(READINGS, _SPANS) + f"""
-select user_id, ts, {_each('round({s}, 6) as {s}')}
-from readings join spans using (user_id) where points <= 50
-union all
-select user_id, {_anchored('width')} as ts, {_each('round(median({s}), 6) as {s}')}
-from readings join spans using (user_id) where points > 50
-group by user_id, {_anchored('width')}"""
+ORACLE["resample_raw"] = _with(READINGS) + f"""
+select user_id, ts, {_each('round({s}, 6) as {s}')} from readings"""
 ORACLE["bin_grid"] = _with(READINGS, _grid(21600)) + "select user_id, bin from grid"
 ORACLE["raw_guard"] = _with(READINGS, _SPANS) + """
-select user_id, points, points > 50 as resampled from spans"""
+select user_id, points, points > 50 as over_limit from spans"""
 ORACLE["auto_granularity"] = _with(READINGS, _SPANS) + """
 select user_id, round(span, 6) as span_seconds, width as width_seconds from spans"""
 
@@ -314,8 +311,12 @@ from axis a left join happened h
   on h.user_id = a.user_id and date_trunc('{unit}', h.moment) = a.time_bin {cond}
 group by a.user_id, a.time_bin"""
 ORACLE["event_density_hour"] = _with(
-    EVERYONE, HAPPENED, _AXIS.format(start=START, end=END, unit="hour")
-) + _DENSITY.format(hours="1.0", unit="hour", cond=_IN_RANGE)
+    EVERYONE, HAPPENED, _AXIS.format(start=FIRST, end=LAST, unit="hour")
+) + _DENSITY.format(hours="1.0", unit="hour", cond="")
+ORACLE["event_density_some"] = _with(
+    "everyone as (select distinct user_id from events where event_type = 'click')",
+    HAPPENED, _AXIS.format(start=FIRST, end=LAST, unit="day")
+) + _DENSITY.format(hours="24.0", unit="day", cond="")
 ORACLE["event_density_day"] = _with(
     HAPPENED,
     """axis as (select user_id, unnest(generate_series(

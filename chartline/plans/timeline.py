@@ -45,6 +45,7 @@ def patient_timeline(
     granularity: str = "auto",
     aggregation: str = "mean",
     show_band: bool = False,
+    ffill: bool = False,
     density_bin: str = "hour",
     window_minutes: float = 5,
     signals=None,
@@ -58,13 +59,14 @@ def patient_timeline(
     start, end = calendar_bounds(first_day, last_day)
     own = filter_time_range(filter_patient(readings, patient, layout), start, end, layout)
     happened = filter_time_range(filter_patient(events, patient, layout), start, end, layout)
-    series = resample(own, granularity, aggregation, show_band, signals=signals, layout=layout)
+    one = readings.sparkSession.createDataFrame([(patient,)], readings.select(layout.entity).schema)
+    series = resample(own, granularity, aggregation, show_band, ffill, signals, layout=layout)
     return Timeline(
         readings=own,
         events=happened,
         profile=sampling_profile(own, layout=layout),
         stats=signal_stats(own, signals, layout=layout),
-        rates=event_rates(happened, start, end, layout=layout),
+        rates=event_rates(happened, start, end, one, layout),
         types=event_type_counts(happened, layout),
         cards=summary_cards(own, happened, start, end, signals, layout),
         series=series,

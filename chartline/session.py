@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Runtime re-planning sizes partitions, splits skewed joins and turns small sides into broadcasts.
@@ -29,6 +27,4 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **extra: str) -
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chartline-"))
     return spark

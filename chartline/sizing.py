@@ -1,12 +1,8 @@
-"""Choices that depend on how large an intermediate result turns out to be."""
+"""Settings of the session that steps need."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# A broadcast side may hold at most this many narrow rows, some tens of megabytes.
-BROADCAST_ROWS = 500_000
 
 
 def task_count(df: DataFrame) -> int:
@@ -14,29 +10,6 @@ def task_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write a small per-entity result to the shared checkpoint folder and read it from there.
-
-    Without a checkpoint folder the frame is returned as it is and is simply computed again.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            return df
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark for broadcast when a count shows few rows; else leave the join to the optimizer.
-
-    The count is a job of its own. It pays where the other side would otherwise be shuffled whole, so
-    it is meant for frames that are far cheaper to compute than that side is to shuffle.
-    """
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def rows_in(df: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``df`` whose ``keys`` occur in ``cells``, filtered before any shuffle if those are few."""
-    return df.join(broadcast_if_small(cells.select(*keys).distinct()), keys, "left_semi")
+    """Rows of ``df`` whose ``keys`` occur in ``cells``. The optimizer picks the join by size."""
+    return df.join(cells.select(*keys).distinct(), keys, "left_semi")

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartline.functions.text import number, parse_timestamp, truthy
+from chartline.functions.times import from_epoch_micros
 from chartline.layout import EVENTS_SCHEMA, PATIENTS, Layout
 from chartline.operators.combine import dedupe_readings
-from chartline.sizing import stored
 
 # Upload columns besides the signals, and the id given to uploads without one.
 REQUIRED_COLUMNS = ("timestamp",)
@@ -21,6 +21,10 @@ UNKNOWN = "unknown"
 
 ORDINAL = "_ordinal"
 
+# Quotes inside a quoted field are doubled; a file whose header differs from the first one's is an error,
+# as Spark reads the columns of all files of a scan by position.
+CSV_OPTIONS = {"header": "true", "escape": '"', "enforceSchema": "false"}
+
 
 class DataValidationError(ValueError):
     """The upload cannot be used."""
@@ -43,10 +47,13 @@ class Upload:
     report: DataFrame
 
 
-def read_upload(spark: SparkSession, path, fmt: str = "csv") -> DataFrame:
-    """The raw table plus an ordinal that follows file and row order. CSV columns stay text."""
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    raw = reader.format(fmt).load(path)
+def read_upload(spark: SparkSession, path, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
+    """The raw table plus an ordinal that follows file and row order. CSV columns stay text.
+
+    ``multi_line`` allows line breaks inside quoted CSV fields; a file is then read by one task.
+    """
+    options = CSV_OPTIONS | {"multiLine": str(multi_line).lower()} if fmt == "csv" else {}
+    raw = spark.read.options(**options).format(fmt).load(path)
     return raw.select(
         *(F.col(f"`{c}`") for c in raw.columns),
         F.struct(
@@ -88,9 +95,11 @@ def _kind(df: DataFrame, name: str) -> str:
 
 
 def as_time(df: DataFrame, name: str) -> Column:
-    """A column as zone-free time: timestamps as they are, text and numbers parsed."""
-    if _kind(df, name).startswith("timestamp"):
-        return F.col(name).cast("timestamp_ntz")
+    """A column as zone-free time: zoned timestamps in UTC, zone-free ones as they are, text and numbers parsed."""
+    if _kind(df, name) == "timestamp":
+        return from_epoch_micros(F.unix_micros(F.col(name)))
+    if _kind(df, name) == "timestamp_ntz":
+        return F.col(name)
     return parse_timestamp(F.col(name).cast("string"))
 
 
@@ -212,13 +221,13 @@ def load_upload(
     path,
     fmt: str = "csv",
     strict: bool = False,
-    store: bool = False,
+    store: str | None = None,
     layout: Layout = PATIENTS,
 ) -> Upload:
     """Read, check and clean an upload. ``strict`` fails on the first unusable time instead of skipping it.
 
-    Readings and events both come from the cleaned rows; ``store`` writes those once to the checkpoint
-    folder, so that using both does not clean twice.
+    Readings and events both come from the cleaned rows; with ``store``, a path that all executors share,
+    those are written there once as Parquet and read again, so that using both does not clean twice.
     """
     raw = read_upload(spark, path, fmt)
     check = validate_columns(raw.columns, layout)
@@ -236,7 +245,8 @@ def load_upload(
             raise DataValidationError(f"Cannot read time {first[0]!r}; expected ISO or Unix epoch.")
     rows = clean_upload(parsed, layout=layout)
     if store:
-        rows = stored(rows)
+        rows.write.parquet(store)
+        rows = spark.read.parquet(store)
     return Upload(
         extract_readings(rows, layout), extract_events(rows, layout), warnings,
         ingest_report(parsed, layout),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartline.layout import PATIENTS, Layout
 from chartline.operators.nearest import flag_event_rows
-from chartline.sizing import task_count
+from chartline.sources.tables import DAY_FOLDER
 
 # Keeps microseconds, which the CSV writer would otherwise cut to milliseconds.
 _CSV_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
@@ -19,19 +19,21 @@ def _save(writer, path: str, fmt: str) -> None:
     writer.format(fmt).save(path)
 
 
-def _time_column(df: DataFrame, layout: Layout) -> str:
-    return layout.time if layout.time in df.columns else layout.event_time
+def _time_column(df: DataFrame, layout: Layout) -> Column:
+    """When a row happened: a reading's time, an event's own time or else its start."""
+    return F.col(layout.time) if layout.time in df.columns else layout.event_time_of(df)
 
 
 def write_per_patient(
     df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists", layout: Layout = PATIENTS
 ) -> None:
-    """One folder per entity; entities without rows get none.
+    """One folder per entity; entities without rows get none. For exports of few entities: millions of
+    them would be millions of folders, for which ``write_by_day`` is the layout.
 
     Rows are spread by entity and day, so a very large entity is written by many tasks.
     """
     when = _time_column(df, layout)
-    spread = df.repartition(task_count(df), layout.entity, F.to_date(when)).sortWithinPartitions(
+    spread = df.repartition(layout.entity, F.to_date(when)).sortWithinPartitions(
         layout.entity, when
     )
     _save(spread.write.mode(mode).partitionBy(layout.entity), path, fmt)
@@ -52,10 +54,10 @@ def write_by_day(
 ) -> None:
     """One folder per calendar day, rows clustered by entity: the layout that later scans prune best."""
     when = _time_column(df, layout)
-    dated = df.withColumn("day", F.to_date(when))
-    spread = dated.repartitionByRange(task_count(df), "day", layout.entity, when)
+    dated = df.withColumn(DAY_FOLDER, F.to_date(when))
+    spread = dated.repartitionByRange(DAY_FOLDER, layout.entity, when)
     _save(
-        spread.sortWithinPartitions("day", layout.entity, when).write.mode(mode).partitionBy("day"),
+        spread.sortWithinPartitions(DAY_FOLDER, layout.entity, when).write.mode(mode).partitionBy(DAY_FOLDER),
         path, fmt,
     )
 

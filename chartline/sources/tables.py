@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from chartline.functions.times import ntz
 from chartline.layout import EVENTS_SCHEMA, PATIENTS, Layout, readings_schema
 from chartline.operators.select import filter_time_range
-from chartline.sources.ingest import as_flag, as_number, as_time
+from chartline.sources.ingest import CSV_OPTIONS, as_flag, as_number, as_time
+
+
+# The partition column of write_by_day; no column of the data is taken for it.
+DAY_FOLDER = "chartline_day"
 
 
 def _scan(spark: SparkSession, path, fmt: str) -> DataFrame:
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    return reader.format(fmt).load(path)
+    return spark.read.options(**(CSV_OPTIONS if fmt == "csv" else {})).format(fmt).load(path)
 
 
 def _typed(df: DataFrame, field) -> Column:
@@ -33,9 +36,9 @@ def _typed(df: DataFrame, field) -> Column:
 
 def _within_days(df: DataFrame, start, end) -> DataFrame:
     """Skip the day folders of ``write_by_day`` that lie outside the range."""
-    if start is None or "day" not in df.columns:
+    if start is None or DAY_FOLDER not in df.columns:
         return df
-    return df.where(F.col("day").between(F.to_date(ntz(start)), F.to_date(ntz(end))))
+    return df.where(F.col(DAY_FOLDER).between(F.to_date(ntz(start)), F.to_date(ntz(end))))
 
 
 def read_readings(

@@ -71,21 +71,18 @@ def test_auto_width(spark, span, width):
     assert spark.range(1).select(bins.auto_width(F.lit(float(span)))).head()[0] == width
 
 
-def test_raw_stays_raw_up_to_the_limit(hr):
-    small = [("a", "00:00:00", 1), ("a", "00:00:30", 3)]
-    large = [("b", f"00:00:0{i}", i) for i in range(3)] + [("b", "00:00:00.5", 5)]
-    out = bins.resample(hr(*small, *large), "raw", raw_limit=3, show_band=True, layout=ONE)
-    assert rows(out.where("patient_id = 'a'"), "timestamp", "hr", "hr_p10") == [
-        (at("00:00:00"), 1.0, None), (at("00:00:30"), 3.0, None),
-    ]
-    # The span is above zero, so auto mode picks one second.
-    assert series(out.where("patient_id = 'b'")) == [2.5, 1.0, 2.0]
-    assert series(out.where("patient_id = 'b'"), "hr_p90") == [4.5, 1.0, 2.0]
+def test_raw_returns_every_row_at_any_size(spark):
+    many = spark.range(200_001).selectExpr(
+        "'a' as patient_id", "timestamp_ntz'2024-01-02 00:00:00' + make_dt_interval(0, 0, 0, id) as timestamp", "cast(id as double) as hr"
+    )
+    out = bins.resample(many, "raw", show_band=True, layout=ONE)
+    assert out.columns == ["patient_id", "timestamp", "hr"] and out.count() == 200_001
+    assert out.exceptAll(many).isEmpty()
 
 
 def test_raw_guard_counts_non_null_readings(hr):
     data = hr(("a", "00:00:00", 1), ("a", "00:00:01", None), ("b", "00:00:00", 1), ("b", "00:00:01", 2))
-    assert rows(bins.raw_guard(data, limit=1, layout=ONE), "patient_id", "points", "resampled") == [
+    assert rows(bins.raw_guard(data, limit=1, layout=ONE), "patient_id", "points", "over_limit") == [
         ("a", 1, False), ("b", 2, True),
     ]
 

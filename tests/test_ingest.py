@@ -1,5 +1,8 @@
 import pytest
 
+from pyspark.sql import functions as F
+
+from chartline.functions.text import parse_timestamp
 from chartline.layout import EVENTS_SCHEMA, PATIENTS
 from chartline.operators.select import filter_patient
 from chartline.sources import ingest, tables
@@ -170,3 +173,27 @@ def test_readings_table_keeps_filters_at_the_scan(spark, tmp_path):
     assert rows(out, "spo2") == [(None,)]
     plan = filter_patient(out, "p")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(patient_id,p)" in plan
+
+
+def test_offsets_and_epochs_agree(spark):
+    texts = ["2024-01-15T10:00:00+05:00", "2024-01-15 05:00:00Z", "1705294800", "2024-01-15 05:00:00", "2024-01-15T06:00:00.5+01:00", "2024-01-15", "x+01:00"]
+    kept = spark.conf.get("spark.sql.session.timeZone")
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            df = spark.createDataFrame([(t,) for t in texts], "t string").select(parse_timestamp(F.col("t")).cast("string").alias("t"))
+            got = [r.t for r in df.collect()]
+            zoned = spark.sql("select timestamp_micros(1705312200000000) as t")
+            assert zoned.select(ingest.as_time(zoned, "t").cast("string").alias("t")).first().t == "2024-01-15 09:50:00"
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", kept)
+        assert got == ["2024-01-15 05:00:00"] * 4 + ["2024-01-15 05:00:00.5", "2024-01-15 00:00:00", None]
+
+
+def test_csv_files_with_other_headers_raise_and_quotes_double(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "1.csv").write_text('timestamp,spo2,note\n2024-01-01 00:00:00,96,"a ""x"" b"\n')
+    assert ingest.read_upload(spark, str(tmp_path / "a")).first().note == 'a "x" b'
+    (tmp_path / "a" / "2.csv").write_text("timestamp,note,spo2\n2024-01-01 00:00:01,n,61\n")
+    with pytest.raises(Exception):
+        ingest.read_upload(spark, str(tmp_path / "a")).collect()

@@ -121,3 +121,13 @@ def test_hot_group_medians(spark):
     ).collect())
     assert len(out) == 302 and out["same"] == 7.0 and out["g10"] == 14.5
     assert out["hot"] == pytest.approx(statistics.median(v for g, v in data if g == "hot"), rel=1e-12)
+
+
+def test_values_far_from_zero_are_split(spark):
+    """A million-offset group: exact quantiles, and no window partition holds more than a small share."""
+    values = spark.range(20_000).selectExpr("'g' as g", "1e6 + (id * 7919 % 20000) / 20000.0 as v").union(
+        spark.createDataFrame([("i", float("inf")), ("i", 1.0), ("i", float("-inf"))], "g string, v double")
+    )
+    out = {r.g: r for r in group_quantiles(values, ["g"], "v", {"p": 0.25, "m": 0.5}).collect()}
+    assert out["g"].m == pytest.approx(1e6 + 9999.5 / 20000, abs=1e-9) and out["g"].p == pytest.approx(1e6 + 4999.75 / 20000, abs=1e-9)
+    assert out["i"].m == 1.0

@@ -126,3 +126,16 @@ def test_dedupe_keeps_first_and_is_idempotent(hr):
 def test_sorted_by_patient_then_time(hr):
     data = hr(("b", "10:00:00", 1), ("a", "10:01:00", 2), ("a", "10:00:00", 3))
     assert [r.hr for r in combine.sorted_readings(data).collect()] == [3.0, 2.0, 1.0]
+
+
+def test_range_without_a_time_column_raises(spark):
+    with pytest.raises(ValueError):
+        select.filter_time_range(spark.sql("select 'p' as patient_id"), at("00:00:00"), at("01:00:00"))
+
+
+def test_start_only_intervals_are_sorted_by_start(spark):
+    from chartline.operators.combine import sorted_readings
+
+    events = spark.sql("""select 'p' as patient_id, cast(null as timestamp_ntz) as seizure_time, timestamp_ntz'2024-01-03 01:00:00' as seizure_start
+        union all select 'p', timestamp_ntz'2024-01-02 02:00:00', null""")
+    assert [r.seizure_start is None for r in sorted_readings(events).collect()] == [True, False]

@@ -37,7 +37,7 @@ def test_combined_csv_round_trip_keeps_microseconds(spark, data, tmp_path):
 def test_day_folders(spark, data, tmp_path):
     path = str(tmp_path / "days")
     sinks.write_by_day(data, path)
-    assert [p.name for p in Path(path).iterdir() if p.is_dir()] == ["day=2024-01-02"]
+    assert [p.name for p in Path(path).iterdir() if p.is_dir()] == [f"{tables.DAY_FOLDER}=2024-01-02"]
     assert spark.read.parquet(path).count() == 3
 
 
@@ -49,14 +49,15 @@ def test_day_folders_outside_the_range_are_not_read(spark, hr, tmp_path):
     )
     assert rows(out, "hr") == [(3.0,), (4.0,)]
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(day" in plan
+    assert f"PartitionFilters: [isnotnull({tables.DAY_FOLDER}" in plan
 
 
 def test_stored_upload(spark, tmp_path):
     (tmp_path / "u.csv").write_text("timestamp,spo2,seizure\n2024-01-02 10:00:00,97,1\n")
-    upload = ingest.load_upload(spark, str(tmp_path / "u.csv"), store=True)
+    upload = ingest.load_upload(spark, str(tmp_path / "u.csv"), store=str(tmp_path / 'cleaned'))
     assert (upload.readings.count(), upload.events.count()) == (1, 1)
-    assert "FileScan" not in upload.readings._jdf.queryExecution().executedPlan().toString()
+    plan = upload.readings._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "cleaned" in plan and "FileScan csv" not in plan
 
 
 def test_upload_ready_round_trip(spark, events_at, tmp_path):
@@ -91,3 +92,19 @@ def test_timeline(hr, events_at):
     assert rows(view.cards, "mean", "total_count", "per_day") == [(2.0, 1, 1.0)]
     # These events have no type column, so there is nothing to count.
     assert view.types.count() == 0
+
+
+def test_by_day_keeps_intervals_without_a_time_and_own_day_columns(spark, tmp_path):
+    events = spark.sql("""select 'p' as patient_id, cast(null as timestamp_ntz) as seizure_time, timestamp_ntz'2024-01-03 01:00:00' as seizure_start
+        union all select 'p', timestamp_ntz'2024-01-03 02:00:00', null""")
+    sinks.write_by_day(events, str(tmp_path / "e"))
+    range_ = (dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 3, 23))
+    assert tables.read_events(spark, str(tmp_path / "e"), start=range_[0], end=range_[1]).count() == 2
+    spark.sql("select 'p' as patient_id, timestamp_ntz'2024-01-03 01:00:00' as timestamp, 1.0D as spo2, 'Tuesday' as day").write.parquet(str(tmp_path / "r"))
+    assert tables.read_readings(spark, str(tmp_path / "r"), start=range_[0], end=range_[1]).count() == 1
+
+
+def test_sinks_leave_the_number_of_tasks_open(spark, tmp_path):
+    import inspect
+
+    assert "task_count" not in inspect.getsource(sinks)

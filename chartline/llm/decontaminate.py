@@ -285,7 +285,7 @@ def find_leaks(
     if not blocks:
         blocks = [spark.sparkContext.broadcast(Phrases([], [], window))]
     for phrases in blocks:
-        result = result.mapInArrow(flat.tidy(_search(phrases, text, out)), schema)
+        result = flat.mapped(result, _search(phrases, text, out), schema)
     return result
 
 

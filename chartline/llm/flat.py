@@ -7,7 +7,10 @@ are computed on that buffer with numpy, in slices of bounded size; no Python str
 from __future__ import annotations
 
 import ctypes
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +136,23 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(kept)
 
 
+_SENT: set[str] = set()
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow for functions of this package, which is sent to the executors: they need not have it installed."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _SENT:
+        root = Path(__file__).resolve().parents[2]
+        archive = Path(tempfile.mkdtemp(prefix="package-"), "chartline.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(root.joinpath("chartline").rglob("*.py")):
+                out.write(source, source.relative_to(root))
+        context.addPyFile(str(archive))
+        _SENT.add(context.applicationId)
+    return df.mapInArrow(tidy(run), schema)
+
+
 def release() -> None:
     """Give memory that arrays no longer use back to the system: Spark keeps Python workers for later tasks."""
     pa.default_memory_pool().release_unused()
@@ -166,8 +186,6 @@ def durable(spark: SparkSession) -> None:
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            import tempfile
-
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartline.llm.flat import tidy
+from chartline.llm.flat import mapped
 
 MIN_PAGES = 8
 RATIO = 0.3
@@ -237,7 +237,7 @@ def templates(pages: DataFrame, *, url: str = "url", html: str = "html", min_pag
             found = [sorted(set(parse(page.as_py())[1])) if page.is_valid else [] for page in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["host", "trees"])
 
-    trees = rows.mapInArrow(tidy(hashes), "host string, trees array<bigint>")
+    trees = mapped(rows, hashes, "host string, trees array<bigint>")
     counts = trees.select("host", F.explode("trees").alias("tree")).groupBy("host", "tree").agg(F.count("*").alias("n"))
     totals = rows.groupBy("host").agg(F.count("*").alias("pages"))
     recurring = counts.where(F.col("n") >= min_pages).join(totals, "host").where(F.col("n") >= ratio * F.col("pages"))
@@ -267,4 +267,4 @@ def extract(pages: DataFrame, *, url: str = "url", html: str = "html", out: str
             columns = [batch.column(names.index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*(f.name for f in kept), out])
 
-    return joined.mapInArrow(tidy(run), schema)
+    return mapped(joined, run, schema)

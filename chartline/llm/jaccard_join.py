@@ -108,7 +108,7 @@ def _signed(docs: DataFrame, text: str) -> DataFrame:
                 ], names=["id", "mark", "key", "n", "signature"])
 
     schema = T.StructType([docs.schema["id"], docs.schema["mark"], *T.StructType.fromDDL("key binary, n int, signature binary").fields])
-    return docs.select("id", "mark", F.col(text).alias("t")).mapInArrow(flat.tidy(run), schema)
+    return flat.mapped(docs.select("id", "mark", F.col(text).alias("t")), run, schema)
 
 
 def least_matches(threshold: float, tolerance: float) -> list[int]:
@@ -308,22 +308,21 @@ def join(
         .join(classes.select("cid", "signature"), "cid")
         .repartition("cell").sortWithinPartitions("cell", "cid")
     )
-    survivors = flat.saved(cells.mapInArrow(
-        flat.tidy(_survivors(least_matches(threshold, tolerance))), "cell bigint, cids array<bigint>, left array<int>, right array<int>"
+    survivors = flat.saved(flat.mapped(
+        cells, _survivors(least_matches(threshold, tolerance)), "cell bigint, cids array<bigint>, left array<int>, right array<int>"
     ))
     wanted = (
         survivors.select("cell", F.explode("cids").alias("cid")).groupBy("cid").agg(F.collect_list("cell").alias("cells"))
         .join(classes.select("cid", "key", F.col("copy_id").alias("id")), "cid")
     )
-    sets = (
-        docs.alias("d").join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")))
-        .select("w.cid", "w.key", "w.cells", F.col("d.text").alias("t")).mapInArrow(flat.tidy(_cell_sets), "cell bigint, cid bigint, shingles binary")
-    )
+    texts = docs.alias("d").join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")))
+    texts = texts.select("w.cid", "w.key", "w.cells", F.col("d.text").alias("t"))
+    sets = flat.mapped(texts, _cell_sets, "cell bigint, cid bigint, shingles binary")
     nothing = {name: F.lit(None).cast(kind) for name, kind in (("cids", "array<bigint>"), ("left", "array<int>"), ("right", "array<int>"))}
     gathered = sets.withColumns(nothing).unionByName(survivors, allowMissingColumns=True)
-    linked = flat.saved(
-        gathered.repartition("cell").sortWithinPartitions("cell").mapInArrow(flat.tidy(_verified(threshold)), "cid bigint, links bigint, root bigint")
-    )
+    linked = flat.saved(flat.mapped(
+        gathered.repartition("cell").sortWithinPartitions("cell"), _verified(threshold), "cid bigint, links bigint, root bigint"
+    ))
     links = linked.groupBy("cid").agg(F.sum("links").alias("n_links"))
     roots = components(linked.select(F.col("cid").alias("v"), F.col("root").alias("p")))
     named = (

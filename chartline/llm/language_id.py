@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartline.llm.flat import tidy
+from chartline.llm.flat import mapped
 
 PER_LANGUAGE = 96
 PER_DOCUMENT = 2000
@@ -115,7 +115,7 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], *, text: st
             column = pa.array([dict(zip(("lang", "score", "rejected"), f, strict=True)) for f in found], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(tidy(run), schema)
+    return mapped(docs, run, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

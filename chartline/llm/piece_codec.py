@@ -311,7 +311,7 @@ def encode(docs: DataFrame, model: str, *, text: str = "text", out: str = "ids")
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, out])
 
-    return docs.mapInArrow(flat.tidy(run), schema)
+    return flat.mapped(docs, run, schema)
 
 
 def decode(rows: DataFrame, model: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -331,7 +331,7 @@ def decode(rows: DataFrame, model: str, *, ids: str = "ids", out: str = "decoded
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, _texts(text, edges)], names=[*part.schema.names, out])
 
-    return rows.mapInArrow(flat.tidy(run), schema)
+    return flat.mapped(rows, run, schema)
 
 
 def recode(docs: DataFrame, model: str, *, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -347,7 +347,7 @@ def recode(docs: DataFrame, model: str, *, text: str = "text", ids: str = "ids",
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found, pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns, lists, _texts(back, edges)], names=schema.names)
 
-    return docs.mapInArrow(flat.tidy(run), schema)
+    return flat.mapped(docs, run, schema)
 
 
 def _texts(raw: np.ndarray, edges: np.ndarray) -> pa.Array:
@@ -378,7 +378,7 @@ def digests(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str =
                 pa.array([sha256(back[cuts[k] : cuts[k + 1]]).hexdigest() for k in range(n)], pa.string()),
             ], names=schema.names)
 
-    return docs.select(doc_id, text).mapInArrow(flat.tidy(run), schema)
+    return flat.mapped(docs.select(doc_id, text), run, schema)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], text: str):

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -140,7 +141,14 @@ _SENT: set[str] = set()
 
 
 def mapped(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow for functions of this package, which is sent to the executors: they need not have it installed."""
+    """mapInArrow for functions of this package, which is sent to the executors: they need not have it installed.
+
+    Spark counts rows for a batch and allows 64 MB; unless the session says otherwise, it is told to end batches
+    at BATCH_BYTES, so that a task holds little at a time whatever the length of the texts.
+    """
+    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(limit, None) is None:
+        conf.set(limit, str(BATCH_BYTES))
     context = df.sparkSession.sparkContext
     if context.applicationId not in _SENT:
         root = Path(__file__).resolve().parents[2]

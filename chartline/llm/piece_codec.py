@@ -31,7 +31,7 @@ from chartline.llm import flat
 SPACE = "▁"
 _SPACE_BYTES = SPACE.encode()
 _NONE = np.int64(1 << 40)
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 BLOCK_BYTES = 1 << 18
 _BITS = 19
 

@@ -341,7 +341,14 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", thr
     """The rows of docs with one document of each group: that of the smallest id (then of the smallest text hash)."""
     found = join(docs, key=key, text=text, threshold=threshold)
     kept = found.groupBy("class_id").agg(F.min(F.struct(F.col(key).isNull().alias("none"), key, "mark")).alias("first"))
-    kept = kept.select(F.col(f"first.{key}").alias("_id"), F.col("first.mark").alias("_mark")).distinct()
+    # Plain equality on what stands for the id: join and dropDuplicates then share one exchange of the texts.
+    place = ["_none_", "_id_", "_mark_"]
+    kept = kept.select(
+        F.col("first.none").alias("_none_"), F.coalesce(F.col(f"first.{key}").cast("string"), F.lit("")).alias("_id_"),
+        F.col("first.mark").alias("_mark_"),
+    ).distinct()
     mark: Column = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.withColumn("_mark_", mark).join(kept, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_mark_") == F.col("_mark")), "left_semi")
-    return rows.dropDuplicates([key, "_mark_"]).drop("_mark_")
+    rows = docs.withColumns({
+        "_none_": F.col(key).isNull(), "_id_": F.coalesce(F.col(key).cast("string"), F.lit("")), "_mark_": mark,
+    })
+    return rows.join(kept, place, "left_semi").dropDuplicates(place).drop(*place)

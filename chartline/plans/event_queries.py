@@ -147,6 +147,37 @@ def ingest_readings(spark, sf_dir):
     return ingest.extract_readings(rows, UPLOAD)
 
 
+@query
+def ingest_default_id(spark, sf_dir):
+    """The same upload without its id column: all rows belong to the default id."""
+    raw = upload(spark, sf_dir).drop("patient_id")
+    rows = ingest.clean_upload(ingest.parse_upload(raw, UPLOAD), layout=UPLOAD)
+    return ingest.extract_readings(rows, UPLOAD)
+
+
+@query
+def event_dispatch(spark, sf_dir):
+    """Events by the columns given: interval ends beside a flag, a flag alone, one interval end alone."""
+    given = F.col("event_type") == "error"
+    end = add_micros(F.col("ts"), 90 * MICROS).cast("string")
+    raw = table(spark, sf_dir).select(
+        F.col("user_id").cast("string").alias("patient_id"),
+        F.col("ts").alias("timestamp"),
+        flag_text().alias("seizure"),
+        F.when(given, F.col("ts").cast("string")).alias("seizure_start"),
+        F.when(given & (F.col("event_id") % 3 > 0), end).alias("seizure_end"),
+    )
+    shapes = {
+        "ends": raw,
+        "flag": raw.drop("seizure_start", "seizure_end").withColumnRenamed("seizure", "seizure_event"),
+        "start": raw.drop("seizure", "seizure_end"),
+    }
+    columns = ("patient_id", "seizure_time", "seizure_start", "seizure_end", "is_interval")
+    return combine.union_patients(
+        [ingest.extract_events(df).select(F.lit(name).alias("given"), *columns) for name, df in shapes.items()]
+    )
+
+
 @query
 def parse_timestamps(spark, sf_dir):
     return table(spark, sf_dir).select("event_id", parse_timestamp(time_text()).alias("parsed"))
@@ -448,6 +479,16 @@ def combine_unique_feeds(spark, sf_dir):
     return combine.combine_feeds(feeds(spark, sf_dir), unique_keys=True, layout=USERS)
 
 
+@query
+def combine_feeds_hourly(spark, sf_dir):
+    """Feeds of one row per user and hour, so that their keys meet."""
+    hourly = [
+        feed.groupBy("user_id", floor_time(F.col("ts"), 3600).alias("ts")).agg(F.max(s).alias(s))
+        for s, feed in zip(SIGNALS, feeds(spark, sf_dir), strict=True)
+    ]
+    return combine.combine_feeds(hourly, layout=USERS)
+
+
 @query
 def union_patients(spark, sf_dir):
     return combine.union_patients(feeds(spark, sf_dir))

@@ -125,7 +125,16 @@ where "timestamp" is not null
 qualify row_number() over (partition by patient_id, "timestamp" order by event_id) = 1"""
 )
 
-ORACLE["parse_timestamps"] = f"select event_id, {_PARSED.format(t='ts')} as parsed from events"
+ORACLE["ingest_default_id"] = ORACLE["ingest_readings"].replace("cast(user_id as varchar)", "'uploaded_patient'")
+
+ORACLE["event_dispatch"] = f"""
+select 'ends' as given, cast(user_id as varchar) as patient_id, ts as seizure_time, ts as seizure_start,
+       case when event_id % 3 > 0 then ts + interval 90 second end as seizure_end, true as is_interval
+from events where event_type = 'error'
+union all
+select 'flag', cast(user_id as varchar), ts, null, null, false from events where {_FLAG}"""
+
+ORACLE["parse_timestamps"] =f"select event_id, {_PARSED.format(t='ts')} as parsed from events"
 
 ORACLE["dedupe_readings"] = (
     _with(_HOURLY)
@@ -352,7 +361,10 @@ select user_id, signal, ts, {_LABEL.format(x='gap')} as label from gaps where ga
 ORACLE["combine_feeds"] = _with(READINGS) + f"""
 select user_id, ts, {_each('max({s}) as {s}')} from readings group by user_id, ts"""
 ORACLE["combine_unique_feeds"] = ORACLE["combine_feeds"]
-ORACLE["union_patients"] = _with(READINGS) + "select * from readings"
+ORACLE["combine_feeds_hourly"] = _with(READINGS) + f"""
+select user_id, date_trunc('hour', ts) as ts, {_each('max({s}) as {s}')} from readings
+group by user_id, date_trunc('hour', ts)"""
+ORACLE["union_patients"] =_with(READINGS) + "select * from readings"
 ORACLE["sorted_readings"] = _with(READINGS) + "select * from readings order by user_id, ts"
 ORACLE["event_context"] = _with(HAPPENED, SIGNAL_LIST, LONG) + """
 select h.user_id, h.moment as event_time, s.signal, round(avg(value), 6) as mean,

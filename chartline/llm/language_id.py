@@ -16,7 +16,6 @@ Equal texts get equal results.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +35,6 @@ SHORT = 256
 LEVEL = 6
 MIN_MARGIN = 0.002
 
-_LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
 RESULT = T.StructType([
@@ -85,7 +83,7 @@ def _compressors(dictionaries: tuple[tuple[str, bytes], ...]):
 
 
 def classify(text: str | None, dictionaries: tuple[tuple[str, bytes], ...], min_margin: float) -> tuple[str, float, bool]:
-    if text is None or not dictionaries or not _LETTER.search(text):
+    if text is None or not dictionaries or not any(map(str.isalpha, text)):
         return "und", 0.0, True
     raw = plain(text)
     parts = [raw[k : k + CHUNK] for k in range(0, len(raw), CHUNK)] or [b""]

@@ -15,23 +15,41 @@ NO_INTERVAL = "Insufficient data"
 
 
 def per_signal(
-    readings: DataFrame, measures: dict, signals=None, layout: Layout = PATIENTS
+    readings: DataFrame, measures: dict, signals=None, layout: Layout = PATIENTS, by: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per entity and signal with ``measures`` (name to a function of the signal's name).
 
     All signals are aggregated in one pass over the wide rows; only the result is turned long, so a
-    signal without any value keeps its row.
+    signal without any value keeps its row. ``by`` names further columns to group by.
     """
     present = layout.present(readings, signals)
-    wide = readings.groupBy(layout.entity).agg(
+    wide = readings.groupBy(layout.entity, *by).agg(
         *(
             F.struct(*(measure(s).alias(name) for name, measure in measures.items())).alias(s)
             for s in present
         )
     )
     entries = F.array(*(F.struct(F.lit(s).alias("signal"), F.col(s).alias("m")) for s in present))
-    return wide.select(layout.entity, F.explode(entries).alias("_e")).select(
-        layout.entity, "_e.signal", "_e.m.*"
+    return wide.select(layout.entity, *by, F.explode(entries).alias("_e")).select(
+        layout.entity, *by, "_e.signal", "_e.m.*"
+    )
+
+
+def _at(signal: str, layout: Layout) -> Column:
+    return F.when(F.col(signal).isNotNull(), F.col(layout.time))
+
+
+def _chunk_extents(readings: DataFrame, signals, layout: Layout, chunk_seconds: int) -> DataFrame:
+    """Count, first and last time per entity, signal and time chunk; a signal without values has count 0."""
+    rows = known(readings, layout).withColumn("_chunk", time_bin(F.col(layout.time), chunk_seconds))
+    return per_signal(
+        rows,
+        {
+            "_count": F.count,
+            "_first": lambda s: F.min(_at(s, layout)),
+            "_final": lambda s: F.max(_at(s, layout)),
+        },
+        signals, layout, ("_chunk",),
     )
 
 
@@ -52,11 +70,9 @@ def reading_gaps(
     )
     previous = F.lag(layout.time).over(Window.partitionBy(*keys, "_chunk").orderBy(layout.time))
     inside = long.select(*keys, when, previous.alias("_previous"))
-    edges = long.groupBy(*keys, "_chunk").agg(
-        F.min(layout.time).alias(layout.time), F.max(layout.time).alias("_final")
-    )
+    edges = _chunk_extents(readings, signals, layout, chunk_seconds).where(F.col("_count") > 0)
     before = F.lag("_final").over(Window.partitionBy(*keys).orderBy("_chunk"))
-    across = edges.select(*keys, layout.time, before.alias("_previous"))
+    across = edges.select(*keys, F.col("_first").alias(layout.time), before.alias("_previous"))
     return (
         inside.unionByName(across)
         .where(F.col("_previous").isNotNull())
@@ -65,30 +81,20 @@ def reading_gaps(
 
 
 def sampling_profile(
-    readings: DataFrame, signals=None, approx: bool = False, layout: Layout = PATIENTS
+    readings: DataFrame, signals=None, approx: bool = False, layout: Layout = PATIENTS, chunk_seconds: int = 3600
 ) -> DataFrame:
     """Median interval, its label, reading count and coverage percent per entity and signal.
 
     Coverage compares the count with the span divided by the median interval, capped at 100. With
-    fewer than two readings there is no interval and coverage is 0.
+    fewer than two readings there is no interval and coverage is 0. Counts and spans are summed from
+    the chunk summaries that the gaps need anyway, so both come from one scan and shuffle.
     """
     keys = [layout.entity, "signal"]
-    rows = known(readings, layout)
-
-    def at(signal: str) -> Column:
-        return F.when(F.col(signal).isNotNull(), F.col(layout.time))
-
-    counts = per_signal(
-        rows,
-        {
-            "count": F.count,
-            "_first": lambda s: F.min(at(s)),
-            "_final": lambda s: F.max(at(s)),
-        },
-        signals, layout,
+    counts = _chunk_extents(readings, signals, layout, chunk_seconds).groupBy(*keys).agg(
+        F.sum("_count").alias("count"), F.min("_first").alias("_first"), F.max("_final").alias("_final"),
     )
     medians = group_quantiles(
-        reading_gaps(rows, signals, layout), keys, "gap_seconds",
+        reading_gaps(readings, signals, layout, chunk_seconds), keys, "gap_seconds",
         {"median_interval_seconds": 0.5}, approx,
     )
     median = F.col("median_interval_seconds")
@@ -136,15 +142,12 @@ def signal_stats(
 def signal_coverage(readings: DataFrame, signals=None, layout: Layout = PATIENTS) -> DataFrame:
     """Count, first and last time per entity and signal, for signals with at least one value."""
 
-    def at(signal: str) -> Column:
-        return F.when(F.col(signal).isNotNull(), F.col(layout.time))
-
     return per_signal(
         known(readings, layout),
         {
             "count": F.count,
-            "first_time": lambda s: F.min(at(s)),
-            "last_time": lambda s: F.max(at(s)),
+            "first_time": lambda s: F.min(_at(s, layout)),
+            "last_time": lambda s: F.max(_at(s, layout)),
         },
         signals, layout,
     ).where(F.col("count") > 0)

@@ -54,6 +54,11 @@ def test_value_counts_of_medians_are_shuffled_once(spark):
     assert plan.count("FileScan") == 2  # once for the values, once for the grid
 
 
+def test_profile_scans_for_gaps_and_chunks_only(spark):
+    plan = final_plan(driver.queries()["sampling_profile"](spark, SF))
+    assert plan.count("FileScan") <= 2
+
+
 def test_duplicates_are_cut_before_the_shuffle(spark):
     df = combine.dedupe_readings(eq.table(spark, SF), ["event_id"], eq.USERS)
     plan = plan_of(df)

@@ -26,7 +26,7 @@ def _nearest_wide(
     probes = event_moments(events, layout).select(
         key, F.col("event_time").alias("_at"), F.lit(1).alias("_probe"),
         time_bin(F.col("event_time"), chunk_seconds).alias("_chunk"),
-    )
+    ).where(F.col("_chunk").isNotNull())  # never null; said here, all uses below have one plan and share its shuffle
     points = known(readings, layout).select(
         key, F.col(layout.time).alias("_at"), F.lit(0).alias("_probe"), *signals,
         time_bin(F.col(layout.time), chunk_seconds).alias("_chunk"),
@@ -63,7 +63,7 @@ def _nearest_wide(
     ).where(F.col("_probe") == 1).drop("_probe")
 
     # Only chunks with events are ordered row by row.
-    line = rows_in(points, probes, chunk).unionByName(probes, allowMissingColumns=True)
+    line = points.join(probes.select(*chunk), chunk, "left_semi").unionByName(probes, allowMissingColumns=True)
     back = Window.partitionBy(*chunk).orderBy(F.asc("_at"), "_probe").rowsBetween(
         Window.unboundedPreceding, 0
     )

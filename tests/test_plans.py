@@ -59,6 +59,10 @@ def test_profile_scans_for_gaps_and_chunks_only(spark):
     assert plan.count("FileScan") <= 2
 
 
+def test_nearest_scans_readings_twice_and_events_once(spark):
+    assert final_plan(driver.queries()["nearest_reading"](spark, SF)).count("FileScan") <= 3
+
+
 def test_duplicates_are_cut_before_the_shuffle(spark):
     df = combine.dedupe_readings(eq.table(spark, SF), ["event_id"], eq.USERS)
     plan = plan_of(df)

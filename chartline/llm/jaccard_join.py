@@ -23,7 +23,9 @@ at least the threshold); n_copies, the rows in its class.
 
 Texts of one to four words are one shingle. Texts without words (also null, which counts as empty) are in
 one class where they are equal, and have no links. Ids may repeat or be null; a null id is the smallest only
-where a group has no other. An empty table gives an empty result.
+where a group has no other. So copy_id and class_id name a group but need not tell two apart: unlike texts that
+repeat an id, or have none, share theirs. join() also gives `group`, a number of its own for each group of one
+run, and one_of_each goes by that. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -282,7 +284,7 @@ def join(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE,
     chunk_members: int = CHUNK_MEMBERS,
 ) -> DataFrame:
-    """key, mark, copy_id, class_id, n_links, n_copies of every row; mark tells rows of equal key apart by their text."""
+    """key, mark, group, copy_id, class_id, n_links, n_copies of every row; mark tells rows of equal key apart by their text."""
     docs = docs.select(F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.col(text).alias("text"))
     signed = flat.saved(_signed(docs, "text"))
     classes = flat.saved(
@@ -332,7 +334,7 @@ def join(
     )
     ids = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     named = named.join(ids, "root").select(
-        "key", "copy_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n_copies").cast("long").alias("n_copies"),
+        "key", F.col("root").alias("group"), "copy_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n_copies").cast("long").alias("n_copies"),
     )
     return signed.select("id", "mark", "key").join(named, "key").drop("key").withColumnRenamed("id", key)
 
@@ -340,7 +342,7 @@ def join(
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs with one document of each group: that of the smallest id (then of the smallest text hash)."""
     found = join(docs, key=key, text=text, threshold=threshold)
-    kept = found.groupBy("class_id").agg(F.min(F.struct(F.col(key).isNull().alias("none"), key, "mark")).alias("first"))
+    kept = found.groupBy("group").agg(F.min(F.struct(F.col(key).isNull().alias("none"), key, "mark")).alias("first"))
     # Plain equality on what stands for the id: join and dropDuplicates then share one exchange of the texts.
     place = ["_none_", "_id_", "_mark_"]
     kept = kept.select(

@@ -175,6 +175,15 @@ def test_one_of_each_keeps_one_of_each(documents, rows):
     assert jaccard_join.one_of_each(documents.limit(0)).count() == 0
 
 
+def test_unlike_texts_without_an_id_of_their_own_stay(spark):
+    unlike = ["one two three four five six", "sieben acht neun zehn elf zwoelf", "un deux trois quatre cinq", "uno dos tres cuatro cinco"]
+    texts = list(zip([None, None, 7, 7], unlike, strict=True))
+    docs = spark.createDataFrame([*texts, (None, unlike[0]), (7, unlike[2])], "doc_id bigint, text string")
+    assert counted(map(tuple, jaccard_join.one_of_each(docs).collect())) == counted(texts)
+    found = jaccard_join.join(docs).collect()
+    assert len({r.group for r in found}) == 4 and {r.class_id for r in found} == {None, 7}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(60)] + [(105, 101), (105, 103), (104, 103)], "v bigint, p bigint")
     assert {tuple(r) for r in jaccard_join.components(edges).collect()} == {(k, 0) for k in range(1, 61)} | {(103, 101), (104, 101), (105, 101)}

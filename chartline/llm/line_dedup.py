@@ -3,6 +3,8 @@
 For each host, the pages that hold a line are divided by the pages of the host; lines above `ratio`, and on
 at least `min_pages`, are boilerplate and are dropped from every page of that host. Pages of equal text count
 once, on both sides of the division: a site full of copies of one page does not make its lines boilerplate.
+With `groups`, which names the near-duplicate group of each text, pages of one group count once in the same way:
+a group of near copies does not make the lines that it shares boilerplate. Without it only equal texts are one.
 
 Lines are what stands between line feeds, compared exactly (by 64-bit hash inside a host). Empty lines are
 kept. Null text stays null; a null host is a host of its own. A text that loses all lines becomes empty.
@@ -24,11 +26,17 @@ RATIO = 0.05
 SALTS = 64
 
 
-def boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", min_pages: int = MIN_PAGES, ratio: float = RATIO) -> DataFrame:
-    """host, lines: hashes of the boilerplate lines of each host that has any."""
+def boilerplate(
+    docs: DataFrame, *, host: str = "source", text: str = "text", min_pages: int = MIN_PAGES, ratio: float = RATIO, groups: DataFrame | None = None,
+) -> DataFrame:
+    """host, lines: hashes of the boilerplate lines of each host that has any. groups: (mark, group), one row for each text hash."""
     pages = docs.where(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.xxhash64(text).alias("page"), F.array_distinct(
         F.transform(F.filter(F.split(F.col(text), "\n"), lambda line: line != ""), lambda line: F.xxhash64(line))
     ).alias("lines"))
+    if groups is not None:
+        # equal pages go before the join, so that a text that is everywhere is one row for each host
+        once = pages.groupBy("host", "page").agg(F.first("lines").alias("lines"))
+        pages = once.join(groups, F.col("page") == F.col("mark")).select("host", F.col("group").alias("page"), "lines")
     totals = pages.groupBy("host").agg(F.count_distinct("page").alias("pages"))
     counts = (
         pages.select("host", "page", F.explode("lines").alias("line")).distinct()
@@ -40,10 +48,10 @@ def boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", mi
 
 def drop_boilerplate(
     docs: DataFrame, *, host: str = "source", text: str = "text", min_pages: int = MIN_PAGES, ratio: float = RATIO,
-    n_lines: str = "n_lines", n_dropped: str = "n_dropped",
+    n_lines: str = "n_lines", n_dropped: str = "n_dropped", groups: DataFrame | None = None,
 ) -> DataFrame:
     """All rows and columns of docs with the text without boilerplate lines, and two counts (of that name, replaced)."""
-    found = boilerplate(docs, host=host, text=text, min_pages=min_pages, ratio=ratio).select(
+    found = boilerplate(docs, host=host, text=text, min_pages=min_pages, ratio=ratio, groups=groups).select(
         F.col("host").alias("_of"), F.col("lines").alias("_gone"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt")
     )
     rows = docs.drop(n_lines, n_dropped, "_of", "_gone", "_salt", "_lines", "_kept")

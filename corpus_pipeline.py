@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; run() writes each result
 as Parquet and reads it again. The stages: documents whose language is rejected go; lines that are boilerplate
-on their own site are cut (documents that lose all their lines go); one document of each group of near
+on their own site are cut (near copies count as one page there; documents that lose all their lines go); one document of each group of near
 duplicates stays; documents that hold benchmark passages go; the rest is encoded, and decoded again.
 
 What is kept has the columns of `documents`; n_chars follows the text. The last stage adds the ids, the
@@ -33,7 +33,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines are cut from the texts; a document of nothing else goes."""
-    cut = line_dedup.drop_boilerplate(docs.select(*COLUMNS))
+    docs = docs.select(*COLUMNS)
+    # Near copies are one page to the count, else what a group shares would be cut before one of it can be kept.
+    groups = jaccard_join.join(docs.select("doc_id", "text")).select("mark", "group").distinct()
+    cut = line_dedup.drop_boilerplate(docs, groups=groups)
     kept = cut.where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 

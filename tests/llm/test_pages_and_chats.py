@@ -150,6 +150,30 @@ def test_pipeline(spark):
     assert len({group[r.doc_id] for r in out}) == len(out)
 
 
+def site_with_near_copies():
+    """120 pages of three hosts, each with its own header and two-line footer; 40 of them are near copies of one article."""
+    body = [f"Sentence {k} of the article tells of {' '.join(f'thing{k}x{j}' for j in range(9))}" for k in range(35)]
+    rows = []
+    for k in range(120):
+        lines = [*body] if k % 3 == 0 else [f"Page {k} line {j} says {' '.join(f'word{k}x{j}x{i}' for i in range(9))}" for j in range(35)]
+        if k % 3 == 0:
+            lines[k % 35] += f" edit{k}"
+        host = f"h{k // 3 % 3}"
+        rows.append((k, "\n".join([f"Welcome to {host}", *lines, f"Contact {host}", f"All rights with {host}"]), "en", host, 0))
+    return body, rows
+
+
+def test_near_copies_do_not_make_boilerplate(spark):
+    body, rows = site_with_near_copies()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    cut = corpus_pipeline.drop_site_lines(spark, docs, "").localCheckpoint()
+    texts = {r.doc_id: r.text.split("\n") for r in cut.collect()}
+    for key, text, _, host, _ in rows:  # only header and footer go, from all pages
+        assert texts[key] == text.split("\n")[1:-2]
+    left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, cut, "").collect()}
+    assert left == {0} | {k for k in range(120) if k % 3}
+
+
 def test_entry_without_these_folders(tmp_path):
     """The driver file imports, and knows the other queries, when these folders are gone."""
     import shutil

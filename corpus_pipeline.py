@@ -37,7 +37,7 @@ def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # Near copies are one page to the count, else what a group shares would be cut before one of it can be kept.
     groups = jaccard_join.join(docs.select("doc_id", "text")).select("mark", "group").distinct()
     cut = line_dedup.drop_boilerplate(docs, groups=groups)
-    kept = cut.where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+    kept = cut.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"(?U)\S"))
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
@@ -67,7 +67,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", encode),
 ]
 
-# Compression, MinHash and byte-pair merges are nothing that SQL can express; tests compare with brute force.
+# Compression, MinHash and byte-pair merges are nothing that SQL can express; a test compares kept ids and texts with brute force.
 ORACLE_SQL = None
 
 

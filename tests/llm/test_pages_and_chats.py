@@ -1,15 +1,18 @@
 """Operators on pages and conversations, the pipeline, and the queries with SQL."""
 
 import hashlib
+from collections import defaultdict
 from pathlib import Path
 
 import duckdb
 import pytest
 
 import corpus_pipeline
-from chartline.llm import chat_format, html_text, url_filter
-from chartline.llm.queries import ORACLE, QUERIES
+from chartline.llm import chat_format, html_text, language_id, line_dedup, url_filter
+from chartline.llm.queries import ORACLE, QUERIES, piece_model
 from check_queries import normal
+from tests.llm.conftest import plain_words
+from tests.llm.test_documents import joined, leaks
 
 SF = "/root/testdata/sf0.001"
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -174,6 +177,57 @@ def test_near_copies_do_not_make_boilerplate(spark):
     assert left == {0} | {k for k in range(120) if k % 3}
 
 
+def brute_force_pipeline(spark, folder):
+    """(id, text, ids, decoded) of what the five stages keep, without the operators' joins and counts."""
+    import sentencepiece
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    fitted = tuple(language_id.fit(docs.where(~language_id.held_out()).select("doc_id", "text", "lang")))
+    rows = [r.asDict() for r in docs.collect()]
+    rows = [r for r in rows if not language_id.classify(r["text"], fitted, language_id.MIN_MARGIN)[2]]
+    group = {i: g for i, _, g, _, _ in joined(rows)}  # ids of the fixture are distinct
+    on, pages = defaultdict(set), defaultdict(set)
+    for r in rows:
+        pages[r["source"]].add(group[r["doc_id"]])
+        for line in set(r["text"].split("\n")) - {""}:
+            on[r["source"], line].add(group[r["doc_id"]])
+    gone = {k for k, groups in on.items() if len(groups) >= line_dedup.MIN_PAGES and len(groups) > line_dedup.RATIO * len(pages[k[0]])}
+    for r in rows:
+        was = r["text"]
+        r["text"] = "\n".join(x for x in was.split("\n") if (r["source"], x) not in gone)
+        r["lost"] = r["text"] != was and not r["text"].strip()
+    rows = [r for r in rows if not r["lost"]]
+    group = {i: g for i, _, g, _, _ in joined(rows)}
+    rows = [r for r in rows if group[r["doc_id"]] == r["doc_id"]]
+    items = [(str(r.item_id), plain_words(r.text)) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    rows = [r for r in rows if not leaks(r["text"], items)[1]]
+    model = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    ids = [model.encode(r["text"], add_bos=True, add_eos=True) for r in rows]
+    return [(r["doc_id"], r["text"], len(r["text"]), i, model.decode(i)) for r, i in zip(rows, ids, strict=True)]
+
+
+def test_pipeline_as_by_brute_force(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    _, more = site_with_near_copies()
+    more = [(500_000 + k, *rest) for k, *rest in more]
+    empty = "Welcome to h0\n\n\t\n\nContact h0\nAll rights with h0"
+    more += [(600_000, None, "en", "h0", 0), (600_001, "", "en", "h0", 0), (600_002, empty, "en", "h0", 0), (600_003, "12 34", "en", "h1", 0)]
+    docs.unionByName(spark.createDataFrame(more, docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    expected = brute_force_pipeline(spark, str(tmp_path))
+    got = [(r.doc_id, r.text, r.n_chars, list(r.ids), r.decoded) for r in out]
+    assert sorted(got) == sorted(expected)
+    assert {500_000} <= {r.doc_id for r in out} and not {600_000, 600_001, 600_002, 600_003} & {r.doc_id for r in out}
+
+
+def test_empty_lines_are_no_text(spark):
+    rows = [(k, f"Head\n{k} text {k}\nFoot", "en", "h", 0) for k in range(30)] + [(99, "Head\n\n\t\u00a0\nFoot", "en", "h", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = {r.doc_id: r.text for r in corpus_pipeline.drop_site_lines(spark, docs, "").collect()}
+    assert out == {k: f"{k} text {k}" for k in range(30)}
+
+
 def test_entry_without_these_folders(tmp_path):
     """The driver file imports, and knows the other queries, when these folders are gone."""
     import shutil

@@ -7,7 +7,9 @@ id or role (advert, cookie, comments ...). What is left, but for the plain parag
 stands, and those on at least `ratio` of the pages, and at least `min_pages`, are the template of the site
 and are deleted. A page with an <article> (else <main>) gives the text inside it, others their whole body.
 
-Paragraphs of an article never count as template: a site may hold many copies of one article.
+Pages of a host whose blocks of text are equal count once, both for a subtree and in the pages of the host: many
+copies of one page make no template. Text in a paragraph, heading, list item or cell of an article is never
+template either, whatever stands around it: a site may hold an article on many unlike pages.
 
 At scale: rows of (host, subtree) are counted after a partial count on each task, so a large host is split
 by subtree. The templates of a host are at most (subtrees of a page / ratio) hashes, since each is on that
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartline.llm.flat import mapped
+from chartline.llm.flat import mapped, saved
 
 MIN_PAGES = 8
 RATIO = 0.3
@@ -78,7 +80,7 @@ _WORDS = re.compile(r"[a-z0-9]+")
 
 
 class Element:
-    __slots__ = ("tag", "dropped", "article", "main", "shape")
+    __slots__ = ("tag", "dropped", "article", "main", "prose", "shape")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag = tag
@@ -86,6 +88,7 @@ class Element:
         named = " ".join(a or b or c for _, a, b, c in _NAMED.findall(attributes)) if attributes else ""
         self.main = tag == "main" or (parent is not None and parent.main) or (bool(named) and "main" in named.split() and "role" in attributes)
         self.dropped = (parent is not None and parent.dropped) or self._off(parent, named.lower(), attributes)
+        self.prose = (tag in PROSE and (self.article or self.main)) or (parent is not None and parent.prose)
         self.shape = f"{tag} {named}"
 
     def _off(self, parent: Element | None, named: str, attributes: str) -> bool:
@@ -102,7 +105,7 @@ class Element:
 def parse(page: str) -> tuple[list[tuple[str, bool, bool, tuple[int, ...]]], list[int]]:
     """(blocks, hashes of the subtrees that may be template).
 
-    A block is (text, in an article, in main, indexes of the subtrees around it). Inline elements leave no
+    A block is (text, in an article, in main, indexes of the subtrees that it goes with). Inline elements leave no
     trace, so that a forgotten end tag of theirs does no harm.
     """
     stack = [Element("html", None, "")]
@@ -123,7 +126,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, tuple[int, ...]]], lis
                 around = tuple(k for k in trees if k >= 0)
                 for k in around:
                     subtrees[k].append(text)
-                blocks.append((text, stack[-1], around))
+                blocks.append((text, stack[-1], () if stack[-1].prose else around))
 
     def pop(to: int) -> None:
         flush()
@@ -234,13 +237,21 @@ def templates(pages: DataFrame, *, url: str = "url", html: str = "html", min_pag
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(set(parse(page.as_py())[1])) if page.is_valid else [] for page in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["host", "trees"])
-
-    trees = mapped(rows, hashes, "host string, trees array<bigint>")
-    counts = trees.select("host", F.explode("trees").alias("tree")).groupBy("host", "tree").agg(F.count("*").alias("n"))
-    totals = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    recurring = counts.where(F.col("n") >= min_pages).join(totals, "host").where(F.col("n") >= ratio * F.col("pages"))
+            names, found = [], []
+            for page in batch.column(1):
+                blocks, trees = parse(page.as_py()) if page.is_valid else ([], [])
+                names.append(xxhash.xxh64_intdigest("\x00".join(block[0] for block in blocks)) - (1 << 63))
+                found.append(sorted(set(trees)))
+            columns = [batch.column(0), pa.array(names, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "page", "trees"])
+
+    trees = mapped(rows, hashes, "host string, page bigint, trees array<bigint>")
+    # The null tree stands on every page, so its count is the pages of the host.
+    every = F.concat(F.array(F.lit(None).cast("bigint")), F.col("trees"))
+    seen = trees.select("host", "page", F.explode(every).alias("tree")).distinct()
+    counts = saved(seen.groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("tree").isNull() | (F.col("n") >= min_pages)))
+    totals = counts.where(F.col("tree").isNull()).select("host", F.col("n").alias("pages"))
+    recurring = counts.where(F.col("tree").isNotNull()).join(totals, "host").where(F.col("n") >= ratio * F.col("pages"))
     return recurring.groupBy("host").agg(F.collect_list("tree").alias("template"))
 
 

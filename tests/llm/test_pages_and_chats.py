@@ -130,6 +130,24 @@ def test_copies_of_an_article_stay(spark):
     assert {r.main_text for r in html_text.extract(df).collect()} == {"H\nThe same on every page"}
 
 
+def test_copies_of_a_page_without_an_article_stay(spark):
+    page = "<body><div><h1>H</h1><div><p>The same on every page</p></div></div></body>"
+    other = "<body><div><p>Own text {}</p></div><div>Call us</div></body>"
+    rows = [(k, page if k % 2 else other.format(k)) for k in range(40)]
+    df = spark.createDataFrame([(k, "http://a.net/x", html) for k, html in rows], "page_id bigint, url string, html string")
+    out = {r.page_id: r.main_text for r in html_text.extract(df).collect()}
+    assert out == {k: "H\nThe same on every page" if k % 2 else f"Own text {k}" for k in range(40)}
+
+
+def test_articles_with_inner_elements_stay(spark):
+    page = (
+        "<body><div><article><div><h1>H</h1><section><p>The same</p></section></div><ul><li>x<li><div>y</div></ul><table><tr><td>z</table>"
+        "<div>By us</div></article></div><div>Visit {}</div></body>"
+    )
+    df = spark.createDataFrame([(k, "http://a.net/x", page.format(k)) for k in range(30)], "page_id bigint, url string, html string")
+    assert {r.main_text for r in html_text.extract(df).collect()} == {"H\nThe same\nx\ny\nz"}
+
+
 def test_pages_of_the_tables(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for row in QUERIES["op6_html_extraction"](spark, SF).join(pages.select("page_id", "html"), "page_id").limit(50).collect():

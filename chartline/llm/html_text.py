@@ -74,8 +74,8 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-_NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s\"'>]++)))?")
+_HIDING = re.compile(r"\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
@@ -85,13 +85,14 @@ class Element:
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag = tag
         self.article = tag == "article" or (parent is not None and parent.article)
-        named = " ".join(a or b or c for _, a, b, c in _NAMED.findall(attributes)) if attributes else ""
-        self.main = tag == "main" or (parent is not None and parent.main) or (bool(named) and "main" in named.split() and "role" in attributes)
-        self.dropped = (parent is not None and parent.dropped) or self._off(parent, named.lower(), attributes)
+        found = [(name.lower(), a or b or c) for name, a, b, c in _ATTRIBUTE.findall(attributes)] if attributes else []
+        named = " ".join(value for name, value in found if value and name in ("class", "id", "role"))
+        self.main = tag == "main" or (parent is not None and parent.main) or any(name == "role" and "main" in value.split() for name, value in found)
+        self.dropped = (parent is not None and parent.dropped) or self._off(parent, named.lower(), found)
         self.prose = (tag in PROSE and (self.article or self.main)) or (parent is not None and parent.prose)
         self.shape = f"{tag} {named}"
 
-    def _off(self, parent: Element | None, named: str, attributes: str) -> bool:
+    def _off(self, parent: Element | None, named: str, found: list[tuple[str, str]]) -> bool:
         inside = parent is not None and (parent.article or parent.main)
         if self.tag in DROPPED or (self.tag == "header" and not inside):
             return True
@@ -99,7 +100,11 @@ class Element:
             return False
         if named and (not NOT_MAIN.isdisjoint(_WORDS.findall(named)) or (not inside and "header" in _WORDS.findall(named))):
             return True
-        return bool(attributes) and _HIDDEN.search(attributes) is not None
+        return any(
+            name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true")
+            or (name == "style" and any(map(_HIDING.fullmatch, value.split(";"))))
+            for name, value in found
+        )
 
 
 def parse(page: str) -> tuple[list[tuple[str, bool, bool, tuple[int, ...]]], list[int]]:

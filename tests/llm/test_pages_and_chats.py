@@ -114,6 +114,20 @@ def test_odd_pages(page, text):
     assert html_text.main_text(page, set()) == text
 
 
+@pytest.mark.parametrize("attributes, shown", [
+    ('title="the hidden cost of x"', True), ("title='say hidden here'", True), ('style="overflow: hidden !important"', True),
+    ('title="display:none"', True), ('data-style="display:none"', True), ('title="aria-hidden=true"', True), ('alt="class=nav"', True),
+    ('data-id="menu"', True), ('aria-hidden="false"', True), ('title="a hidden end', True), ('style="backface-visibility: hidden"', True),
+    ("hidden", False), ('HIDDEN=""', False), ("hidden=until-found", False), ("aria-hidden=true", False), ("aria-hidden='TRUE'", False),
+    ('style="color:red; display : none"', False), ("style=display:none", False), ('style="visibility:hidden!important;"', False),
+    ('class="big nav"', False), ("id = menu", False),
+])
+def test_only_hidden_elements_are_hidden(attributes, shown):
+    for tag in ("p", "span"):
+        text = html_text.main_text(f"<article><h1>H</h1><{tag} {attributes}>x</{tag}></article>", set())
+        assert text == ("H\nx" if shown else "H")
+
+
 def test_site_template_is_removed(spark):
     def page(k):
         return f"<body><div id=top><p>All our shops</p></div><div class=body><p>Story {k}</p></div><div><p>Call us</p></div></body>"

@@ -15,8 +15,9 @@ verdicts of the rules, which label the pages that they fit.
 
 Only counts per (host, shapes) enter the tree. Pages are counted after partial counts on each task, so a large
 host is split by its shapes, and templates meet the pages again by an ordinary join. Siblings that are
-compared are at most WIDE + 1 for each parent. The driver sees two totals and the depth of the tree; from
-level DEPTH on, the rest of a path is one tail segment (a wildcard, not a cut: its pages are counted there).
+compared are at most WIDE + 1 for each parent. The driver sees two totals, the depth of the tree and whether a
+round was the last. A tree of up to DEPTH levels takes a round for each; from there on the segments that all
+paths of a node share are taken in one round, as many as they are, so a long path that does not branch is one round.
 
 A null url, and one without `://`, has an empty host and path. An empty table gives an empty result.
 """
@@ -60,7 +61,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def shapes(path: Column) -> Column:
-    """The segments of a path by shape; the tail beyond DEPTH is one segment."""
+    """The segments of a path by shape."""
 
     def shape(part: Column) -> Column:
         return (
@@ -70,8 +71,7 @@ def shapes(path: Column) -> Column:
         )
 
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    head = F.transform(F.slice(parts, 1, DEPTH), shape)
-    return F.when(F.size(parts) > DEPTH, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    return F.transform(parts, shape)
 
 
 def templates(pages: DataFrame, *, wide: int = WIDE, strength: float = STRENGTH, errors: float = ERRORS) -> DataFrame:
@@ -83,15 +83,36 @@ def templates(pages: DataFrame, *, wide: int = WIDE, strength: float = STRENGTH,
     prior = (total[0] + 1) / (total[1] + 2)
     hosts = leaves.groupBy("host").agg(((F.sum("bad") + strength * prior) / (F.sum("labelled") + strength)).alias("purity"))
     tree = leaves.join(hosts, "host").withColumn("template", F.array().cast("array<string>"))
-    for level in range(total[2]):
-        tree = saved(_grown(tree, level, wide, strength, errors))
+    for _ in range(min(total[2], DEPTH)):
+        tree = saved(_grown(tree, wide, strength, errors))
+    while not tree.where(F.size("template") < F.size("shapes")).isEmpty():
+        tree = saved(_grown(saved(_followed(tree, strength)), wide, strength, errors))
     return tree.select("host", "shapes", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")
 
 
-def _grown(tree: DataFrame, level: int, wide: int, strength: float, errors: float) -> DataFrame:
+def _followed(tree: DataFrame, strength: float) -> DataFrame:
+    """The tree with the segments that all longer paths of a node share, and the purity after as many steps."""
+    parent = ["host", "template"]
+    at = F.size("template")
+    rows = tree.withColumn("rest", F.slice("shapes", at + 1, F.greatest(F.size("shapes") - at, F.lit(0))))
+    open_ = rows.where(F.size("rest") > 0)
+    ends = open_.groupBy(*parent).agg(F.min("rest").alias("low"), F.max("rest").alias("high"), F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
+    # What the first and the last in order begin with, all between them begin with.
+    unlike = F.array_position(F.zip_with("low", "high", lambda a, b: F.coalesce(a != b, F.lit(True))), True)
+    shared = F.when(unlike > 0, unlike - 1).otherwise(F.least(F.size("low"), F.size("high"))).cast("int")
+    ends = ends.select(*parent, shared.alias("shared"), "all_bad", "all_labelled").where("shared > 0")
+    done = open_.join(ends, parent, "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    purity = F.aggregate(
+        F.slice("rest", 1, F.col("shared")), F.col("purity"), lambda p, _: (F.col("all_bad") + strength * p) / (F.col("all_labelled") + strength)
+    )
+    done = done.withColumns({"purity": purity, "template": F.concat("template", F.slice("rest", 1, F.col("shared")))})
+    return done.select(*tree.columns).unionByName(rows.where(F.size("rest") == 0).select(*tree.columns))
+
+
+def _grown(tree: DataFrame, wide: int, strength: float, errors: float) -> DataFrame:
     """The tree with one more segment of its templates, and the purity of the nodes it leads to."""
     parent = ["host", "template"]
-    rows = tree.withColumn("part", F.get("shapes", F.lit(level)))
+    rows = tree.withColumn("part", F.get("shapes", F.size("template")))
     children = rows.where(F.col("part").isNotNull()).groupBy(*parent, "purity", "part").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "labelled")))
     fans = children.groupBy(*parent).agg(F.count("*").alias("fan"), F.sum("n").alias("of"))
     rare = (F.col("fan") > wide) & (F.col("n") * wide < F.col("of"))

@@ -95,6 +95,27 @@ def test_templates_learn_from_labels(spark):
     assert any(t == "/tag/*" for t in found)
 
 
+def test_deep_branches_are_told_apart(spark):
+    deep = "/a" * 30
+    pages = [("h.net", f"{deep}/bad/b{'/c' * 200}/{k}", 1) for k in range(40)] + [("h.net", f"{deep}/good/b/{k}", 0) for k in range(40)]
+    pages += [("h.net", f"{deep}/good", 0), ("h.net", f"{deep}/bad/b{'/c' * 200}/x", None), ("h.net", f"{deep}/good/b/x", None), ("h.net", "/a", None)]
+    df = spark.createDataFrame(pages, "host string, path string, bad int").withColumn("shapes", url_filter.shapes(url_filter.F.col("path")))
+    found = {"/" + "/".join(r.shapes): (r.template, r.purity) for r in url_filter.templates(df).collect()}
+    assert found[f"{deep}/bad/b{'/c' * 200}/x"][1] > 0.9 and found[f"{deep}/good/b/x"][1] < 0.1
+    assert all(template == path for path, (template, _) in found.items())
+
+
+def test_shared_segments_in_one_round_as_one_by_one(spark, monkeypatch):
+    pages = [("h.net", f"/{k % 3}x/t/t/{'yz'[k % 2]}{'/u' * (k % 5 % 3)}", (None, 0, 1)[k * k % 11 % 3]) for k in range(90)]
+    pages = [(h, p.replace("0x", "ax").replace("1x", "bx").replace("2x", "cx"), bad) for h, p, bad in pages]
+    df = spark.createDataFrame(pages, "host string, path string, bad int").withColumn("shapes", url_filter.shapes(url_filter.F.col("path")))
+    found = []
+    for depth in (1, 100):
+        monkeypatch.setattr(url_filter, "DEPTH", depth)
+        found.append(sorted((r.shapes, r.template, round(r.purity, 9)) for r in url_filter.templates(df).collect()))
+    assert found[0] == found[1]
+
+
 # --- html
 
 

@@ -33,8 +33,11 @@ ADDED = (
     ("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     ("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
     ("signed", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 24),
-    ("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s+[A-Za-z0-9+/=]{16,}", 0, 40),
-    ("url", r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:([^\s:/@]{6,128})@", 1, 6),
+    # a header, lines like `Proc-Type: ...`, and all up to the END line; without one, the whole lines of base64
+    ("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s++(?:[A-Za-z][A-Za-z0-9-]*+:[^\n]*+\n(?:[ \t]++[A-Za-z0-9][^\n]*+\n)*+\s*+)*+"
+        r"(?:[A-Za-z0-9+/=\s]{16,}+-----END [A-Z ]*PRIVATE KEY-----"
+        r"|[A-Za-z0-9+/=]{16,}+(?:[ \t\r]*+\n[ \t]*+[A-Za-z0-9+/=]{16,}+(?=[ \t\r]*+(?:\n|\z)))*+)", 0, 40),
+    ("url", r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]++:([^\s:/@]{6,}+)@", 1, 6),
 )
 KINDS = BASE + ADDED
 _SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"

@@ -244,6 +244,21 @@ def test_copied_secrets_are_told_from_own_ones(spark):
     assert secret_scan.scan(spark.createDataFrame([], "doc_id bigint, source string, text string")).count() == 0
 
 
+def test_long_urls_and_whole_keys(spark):
+    lines = "\n".join(["Ab1+" * 16] * 300 + ["Zz9="])
+    head, end = "-----BEGIN RSA PRIVATE KEY-----\n", "\n-----END RSA PRIVATE KEY-----"
+    proc = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n"
+    indented = (head + lines + end).replace("\n", "\r\n  ")
+    url = f"http://{'u' * 90}:{'p' * 300}@"
+    open_ = head + "Ab1+" * 16 + "\n" + "Cd2/" * 16
+    spans = [head + lines + end, head + proc + lines + end, indented, open_, url]
+    docs = spark.createDataFrame([(k, "src", f"see {x}\nand more words") for k, x in enumerate(spans)], "doc_id bigint, source string, text string")
+    out = {r.doc_id: r.spans for r in secret_scan.scan(docs).collect()}
+    names = [k[0] for k in secret_scan.KINDS]
+    for k, x in enumerate(spans):
+        assert [(names[s.kind], s.start, s.end) for s in out[k] if not s.base] == [("url" if x == url else "key", 4, 4 + len(x))]
+
+
 # --- spot signatures
 
 

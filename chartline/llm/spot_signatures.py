@@ -7,9 +7,8 @@ leave it alone and pages that differ in what surrounds an article agree on the a
 anchors takes a chain at every content word; one with too few words for a chain is one signature of its own,
 and only the empty text has none.
 
-Likeness is the Jaccard similarity of the sets. Sets are sorted into partitions by length, each `PRUNE` times
-as long as the one before. Since similarity is at most the ratio of the lengths, sets whose partitions are so
-far apart that it must be below `floor` are not compared, and their likeness is 0. Two empty sets are equal.
+Likeness is the Jaccard similarity of the sets, exact for the pairs given. Two empty sets are equal. The search of
+the method, which lets sets meet by length and shared signatures, is not here: op7 finds near documents.
 
 `edited` pairs each document with the next one by id: neighbours are found on ids alone (range partitions, a
 window inside each, and one row of each partition for the borders), then texts are joined on ids. No window
@@ -19,8 +18,6 @@ come first; the last document is followed by the first. Null text is empty. An e
 
 from __future__ import annotations
 
-from math import log
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +36,6 @@ COMMON = (
 ).split()
 CHAIN = 2
 RARE = 8
-PRUNE = 1.25
-FLOOR = 0.02
 
 
 def signatures(rows: DataFrame, text: str, out: str) -> DataFrame:
@@ -66,21 +61,11 @@ def signatures(rows: DataFrame, text: str, out: str) -> DataFrame:
     return done.drop("_w", "_c", "_a", "_s")
 
 
-def partition_of(size: Column) -> Column:
-    """The length partition of a set."""
-    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.lit(log(PRUNE)))
-
-
-def likeness(left: Column, right: Column, floor: float = FLOOR) -> Column:
-    """Jaccard similarity of two sets, 0 where their length partitions rule `floor` out."""
+def likeness(left: Column, right: Column) -> Column:
+    """Jaccard similarity of two sets."""
     a, b = F.size(left), F.size(right)
-    apart = F.abs(partition_of(a) - partition_of(b)) - 1  # whole partitions between them
     common = F.size(F.array_intersect(left, right))
-    return (
-        F.when((a == 0) & (b == 0), 1.0).when((a == 0) | (b == 0), 0.0)
-        .when(apart * F.lit(log(PRUNE)) > F.lit(-log(floor)), 0.0)
-        .otherwise(common / (a + b - common))
-    )
+    return F.when((a == 0) & (b == 0), 1.0).otherwise(common / (a + b - common))
 
 
 def fingerprint(signatures_: Column) -> Column:

@@ -281,6 +281,13 @@ def test_edited_texts_and_likeness(documents, rows):
     assert len(same) == 1
 
 
+def test_likeness_of_unlike_lengths_is_exact(spark):
+    pairs = [(list(range(100)), [5]), ([], []), ([], [1]), ([1, 2], [2, 3]), ([7], list(range(1000)))]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a array<bigint>, b array<bigint>")
+    out = {r.k: r.j for r in df.select("k", spot_signatures.likeness(F.col("a"), F.col("b")).alias("j")).collect()}
+    assert [out[k] for k in range(5)] == [0.01, 1.0, 0.0, 1 / 3, 0.001]
+
+
 def test_spots_follow_anchors(spark):
     row = spark.createDataFrame([("The cat sat on the mat",), ("",), (None,), ("!?",)], "t string")
     got = [r.s for r in spot_signatures.signatures(row, "t", "s").collect()]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -202,3 +203,11 @@ def saved(df: DataFrame) -> DataFrame:
     """The frame written to the shared checkpoint folder: computed once, and safe when executors are lost."""
     durable(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the shared checkpoint folder: computed once, read by columns."""
+    durable(df.sparkSession)
+    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chartline.llm import (
     chat_format, decontaminate, html_text, jaccard_join, language_id, line_dedup, piece_codec, secret_scan,
-    spot_signatures, sql, url_filter,
+    spot_signatures, sql, token_alignment, token_shards, url_filter, word_runs,
 )
 
 
@@ -15,11 +15,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def piece_model() -> str:
-    """The tokenizer file; it lies at the same path on every machine."""
+def tokenizer(name: str) -> str:
+    """A tokenizer file; it lies at the same path on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
+
+
+def piece_model() -> str:
+    return tokenizer("piece_bpe_32k.model")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +55,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), "language.score", "language.rejected")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return token_alignment.align(docs, tokenizer("byte_bpe_50k.json"), piece_model()).select("doc_id", "alignment.*")
+
+
+def op13_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.query(spark, sf_dir, tokenizer("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_chat_formatting": chat_format.query,
     "op2_secret_scans": secret_scan.query,
@@ -62,6 +75,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.query,
     "op9_document_fingerprints": spot_signatures.query,
     "op10_language_id": op10_language_id,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_periodic_runs": word_runs.query,
+    "op13_token_id_output": op13_token_id_output,
 }
 
 ORACLE = {

@@ -13,7 +13,12 @@ EPOCH_MILLIS_FROM = 100_000_000_000
 EPOCH_MILLIS_MAX = 253_402_300_799_999
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_ZONED = r"(?i):[0-9.]+ ?(z|utc|gmt|ut|(utc|gmt|ut)?[+-][0-9]{1,2}(:?[0-9]{2}){0,2}|[a-z]+/[a-z_/]+)$"
+# A time text: a date in front, then if wanted a time of day down to any of its parts, then if wanted a zone.
+_DATE = r"[+-]?[0-9]{4,}(?:-[0-9]{1,2}){0,2}"
+_CLOCK = r"([0-9]{1,2})(?::([0-9]{1,2}))?(?::([0-9]{1,2}(?:\.[0-9]*)?))?"
+_ZONE = r"(?i:z|utc|gmt|ut|(?:utc|gmt|ut)?[+-][0-9]{1,2}(?::?[0-9]{2}){0,2}|[a-z]+/[a-z_/]+)"
+_LOCAL = rf"^{_DATE}([ T]{_CLOCK})?$"
+_ZONED = rf"^({_DATE})[ T]{_CLOCK} ?({_ZONE})$"
 _INFINITY = r"^[+-]?inf(inity)?$"
 
 
@@ -30,16 +35,27 @@ def truthy(text) -> Column:
 
 
 def parse_timestamp(text) -> Column:
-    """Text to a zone-free timestamp: epoch seconds or milliseconds if numeric, else ISO; bad is null."""
+    """Text to a zone-free timestamp: epoch seconds or milliseconds if numeric, else ISO; bad is null.
+
+    A text must begin with a date: a time of day alone is bad, not a time of today, and so is a zone that is not known.
+    """
     trimmed = F.trim(text)
     epoch = trimmed.try_cast("decimal(30,6)")
     scale = F.when(F.abs(epoch) >= EPOCH_MILLIS_FROM, 1000).otherwise(1_000_000)
     micros = F.floor(epoch * scale).cast("bigint")
     from_epoch = F.when(F.abs(epoch) <= EPOCH_MILLIS_MAX, from_epoch_micros(micros))
+
+    def part(group: int) -> Column:
+        found = F.regexp_extract(trimmed, _ZONED, group)
+        return F.when(found == "", F.lit("00")).otherwise(found)
+
     # With a zone of its own a text names an instant, which epochs are too: both become UTC.
-    zoned = F.when(trimmed.rlike(_ZONED), from_epoch_micros(F.unix_micros(trimmed.try_cast("timestamp"))))
-    local = F.when(~trimmed.rlike(_ZONED), trimmed.try_cast("timestamp_ntz"))
-    return F.when(trimmed.rlike(_NUMBER), from_epoch).otherwise(F.coalesce(zoned, local))
+    whole = F.concat(part(1), F.lit(" "), part(2), F.lit(":"), part(3), F.lit(":"), part(4), F.lit(" "), part(5))
+    zoned = from_epoch_micros(F.unix_micros(whole.try_cast("timestamp")))
+    return (
+        F.when(trimmed.rlike(_NUMBER), from_epoch).when(trimmed.rlike(_LOCAL), trimmed.try_cast("timestamp_ntz"))
+        .when(trimmed.rlike(_ZONED), zoned)
+    )
 
 
 def interval_label(seconds) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartline.functions.times import (
@@ -11,15 +11,16 @@ from chartline.functions.times import (
     add_micros,
     day_start,
     divides_day,
+    epoch_micros,
     floor_micros,
-    floor_time,
     micros_between,
+    ntz,
     seconds_between,
     time_bin,
     width_seconds,
 )
 from chartline.layout import PATIENTS, Layout
-from chartline.operators.quantiles import group_quantiles
+from chartline.operators.quantiles import group_quantiles, quantile_parts
 from chartline.operators.select import known, turned_long
 from chartline.sizing import task_count
 
@@ -147,11 +148,14 @@ def resample(
 
     # Widths that divide a day need nothing from other rows: midnight bins are the same for all.
     binned = rows.withColumn("_bin", time_bin(F.col(layout.time), seconds))
-    grid = None
-    if dense:
-        ends = _spans(rows, [], layout).withColumn("_start", floor_time(F.col("_first"), seconds))
-        grid = bin_grid(ends, [layout.entity], "_start", "_final", F.lit(seconds * MICROS), "_bin")
-    return _aggregate(binned, grid, F.lit(seconds * MICROS), *options)
+    width = F.lit(seconds * MICROS).cast("bigint")
+    spans = _spans(rows, [], layout).select(layout.entity, "_first", "_final", ntz("1970-01-01 00:00:00").alias("_origin"), width.alias("_width"))
+    return _aggregate(binned.withColumn("_block", _block_of(epoch_micros(F.col("_bin")), width)), spans, *options)
+
+
+def _block_of(micros: Column, width: Column) -> Column:
+    """Which run of GRID_BLOCK bins a bin belongs to, from its distance to the origin of all bins."""
+    return F.call_function("div", floor_micros(micros, width * GRID_BLOCK), width * GRID_BLOCK)
 
 
 def _resample_varying(rows, spans, width: Column, *options) -> DataFrame:
@@ -161,7 +165,6 @@ def _resample_varying(rows, spans, width: Column, *options) -> DataFrame:
     behind the join is keyed by bin and deals the rows out again.
     """
     layout = options[-1]
-    dense = options[4]
     plans = spans.select(
         layout.entity, "_first", "_final", (width * MICROS).alias("_width"),
         day_start(F.col("_first")).alias("_origin"),
@@ -171,57 +174,84 @@ def _resample_varying(rows, spans, width: Column, *options) -> DataFrame:
     daily = plans.select(layout.entity, "_origin", "_width", F.explode(days).alias("_day"))
     binned = (
         rows.withColumn("_day", F.to_date(layout.time)).join(daily, [layout.entity, "_day"])
-        .withColumn("_bin", add_micros(F.col("_origin"), offset)).drop("_day")
+        .withColumn("_offset", offset).withColumns({
+            "_bin": add_micros(F.col("_origin"), F.col("_offset")), "_block": _block_of(F.col("_offset"), F.col("_width")),
+        }).drop("_day", "_offset")
     )
-    grid = None
-    if dense:
-        from_origin = floor_micros(micros_between(F.col("_origin"), F.col("_first")), F.col("_width"))
-        starts = plans.withColumn("_start", add_micros(F.col("_origin"), from_origin))
-        grid = bin_grid(starts, [layout.entity], "_start", "_final", F.col("_width"), "_bin")
-    return _aggregate(binned, grid, None, *options)
+    return _aggregate(binned, plans, *options)
 
 
-def _aggregate(
-    binned, grid, width, signals, aggregation, show_band, ffill, dense, approx, layout
-) -> DataFrame:
+def _grid(spans: DataFrame, layout: Layout) -> DataFrame:
+    """Every bin from the one of an entity's first row to that of its last."""
+    start = add_micros(F.col("_origin"), floor_micros(micros_between(F.col("_origin"), F.col("_first")), F.col("_width")))
+    return bin_grid(spans.withColumn("_start", start), [layout.entity], "_start", "_final", F.col("_width"), "_bin")
+
+
+def _aggregate(binned, spans, signals, aggregation, show_band, ffill, dense, approx, layout) -> DataFrame:
     """Aggregate binned rows; grid rows join in as rows without values, so no join is needed."""
     keys = [layout.entity, "_bin"]
-    quantiles = {}
-    if aggregation == "median":
-        quantiles["median"] = 0.5
+    quantiles = {"median": 0.5} if aggregation == "median" else {}
     if show_band:
         quantiles |= BAND
+    main = "median" if aggregation == "median" else "mean"
 
-    spread = None
-    if quantiles:
-        long = turned_long(binned, keys, signals)
-        spread = group_quantiles(long, [*keys, "signal"], "value", quantiles, approx)
-
-    def of(signal: str, name: str) -> Column:
-        return F.max(F.when(F.col("signal") == signal, F.col(name)))
-
-    bands = [of(s, q).alias(f"{s}_{q}") for s in signals for q in quantiles if q != "median"]
-    if aggregation == "median":
-        # Bins whose rows hold no value still belong to a result without a grid.
-        frame = grid if dense else binned.select(*keys)
-        out = (
-            spread.unionByName(frame, allowMissingColumns=True)
-            .groupBy(*keys)
-            .agg(*(of(s, "median").alias(s) for s in signals), *bands)
-        )
-    else:
+    if not quantiles:
         values = binned.select(*keys, *signals)
         if dense:
-            values = values.unionByName(grid, allowMissingColumns=True)
+            values = values.unionByName(_grid(spans, layout), allowMissingColumns=True)
         out = values.groupBy(*keys).agg(*(F.avg(s).alias(s) for s in signals))
-        if bands:
-            out = out.join(spread.groupBy(*keys).agg(*bands), keys, "left")
+        out = out.withColumnRenamed("_bin", layout.time)
+        return forward_fill(out, signals, layout) if ffill else out
+
+    mean = None if aggregation == "median" else "mean"
+    names = {s: main for s in signals} | {f"{s}_{q}": q for s in signals for q in quantiles if show_band and q != "median"}
+
+    def of(column: str) -> Column:
+        """The sum of what the rows of a signal hold, in the column of a quantile or, alike in all rows, the mean."""
+        signal = column if column in signals else column.rsplit("_", 1)[0]
+        held = F.when(F.col("signal") == signal, F.col(names[column]))
+        return (F.max(held) if names[column] == mean else F.sum(held)).alias(column)
+
+    key, blocked = layout.entity, [layout.entity, "_block", "_bin"]
+    long = turned_long(binned, blocked, signals)
+    if approx:
+        spread = group_quantiles(long, [*blocked, "signal"], "value", quantiles, True, mean)
+    else:
+        spread = quantile_parts(long.withColumnRenamed("value", "_value"), [*blocked, "signal"], quantiles, mean)
+    if dense:
+        # Rows and the blocks of the grid are dealt out by block together; bins are laid out, and filled, behind it.
+        blocks = _grid_blocks(spans, key)
+        dealt = spread.unionByName(blocks, allowMissingColumns=True).repartition(key, "_block")
+        each = F.expr("CASE WHEN _from IS NULL THEN array(_bin) ELSE sequence(_from, _to, make_dt_interval(0, 0, 0, _width / 1000000)) END")
+        laid = dealt.select(key, "_block", F.explode(each).alias("_bin"), "signal", *quantiles, *([mean] if mean else []))
+    else:
+        # Bins whose rows hold no value still belong to a result without a grid.
+        laid = spread.unionByName(binned.select(*blocked), allowMissingColumns=True)
+    out = laid.groupBy(*blocked).agg(*(of(c) for c in names)).withColumnRenamed("_bin", layout.time)
+    if ffill and dense:
+        out = _filled(out, [key, "_block"], list(names), layout)
+    out = out.select(key, layout.time, *names)
+    return forward_fill(out, list(names), layout) if ffill and not dense else out
+
+
+def _grid_blocks(spans: DataFrame, key: str) -> DataFrame:
+    """The blocks of bins of each entity: _from and _to, the first and last bin of the block that it covers, and _width."""
+    width = F.col("_width")
+
+    def index(time: str) -> Column:
+        return F.call_function("div", floor_micros(micros_between(F.col("_origin"), F.col(time)), width), width)
+
+    low, high = F.col("_block") * GRID_BLOCK, F.col("_block") * GRID_BLOCK + (GRID_BLOCK - 1)
+    numbered = spans.where(F.col("_first") <= F.col("_final")).select(key, "_origin", "_width", index("_first").alias("_low"), index("_final").alias("_high"))
+    blocks = numbered.withColumn("_block", F.explode(F.sequence(_div(F.col("_low")), _div(F.col("_high")))))
+    return blocks.select(
+        key, "_block", "_width",
+        add_micros(F.col("_origin"), F.greatest("_low", low) * width).alias("_from"), add_micros(F.col("_origin"), F.least("_high", high) * width).alias("_to"),
+    )
 
-    out = out.withColumnRenamed("_bin", layout.time)
-    if ffill:
-        filled = [c for c in out.columns if c not in (layout.entity, layout.time)]
-        out = forward_fill(out, filled, layout)
-    return out
+
+def _div(index: Column) -> Column:
+    return F.call_function("div", index - F.pmod(index, F.lit(GRID_BLOCK).cast("bigint")), F.lit(GRID_BLOCK).cast("bigint"))
 
 
 def forward_fill(
@@ -229,26 +259,23 @@ def forward_fill(
 ) -> DataFrame:
     """Replace nulls by the last value before them, per entity and without limit.
 
-    Each entity is cut into time chunks. Values run forward inside a chunk; what enters a chunk comes
-    from one summary row per earlier chunk. So a long series is filled by many tasks.
+    Each entity is cut into time chunks, which are dealt out once. Values run forward inside a chunk; what
+    enters a chunk comes from one summary row per earlier chunk. So a long series is filled by many tasks.
     """
-    keys = [layout.entity, "_chunk"]
-    chunked = df.withColumn("_chunk", time_bin(F.col(layout.time), chunk_seconds))
-    inside = Window.partitionBy(*keys).orderBy(layout.time).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(layout.entity).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    summaries = chunked.groupBy(*keys).agg(
-        *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(layout.time))).alias(c) for c in columns)
-    )
-    entering = summaries.select(
-        *keys, *(F.last(c, ignorenulls=True).over(earlier).alias(f"_before_{c}") for c in columns)
-    )
-    filled = chunked.select(
-        *(c for c in chunked.columns if c not in columns),
-        *(F.last(c, ignorenulls=True).over(inside).alias(c) for c in columns),
-    )
-    return filled.join(entering, keys, "left").select(
-        *(
-            F.coalesce(F.col(c), F.col(f"_before_{c}")).alias(c) if c in columns else F.col(c)
-            for c in df.columns
-        )
+    chunk = [layout.entity, "_chunk"]
+    dealt = df.withColumn("_chunk", time_bin(F.col(layout.time), chunk_seconds)).repartition(*chunk)
+    return _filled(dealt, chunk, columns, layout).select(*df.columns)
+
+
+def _filled(dealt: DataFrame, chunk: list[str], columns: list[str], layout: Layout) -> DataFrame:
+    """The same for rows that are dealt out by chunk already: their summary and their order need no further exchange."""
+    last = ", ".join(f"`{c}`" for c in chunk)
+    summaries = dealt.groupBy(*chunk).agg(
+        *(F.expr(f"max_by(`{c}`, CASE WHEN `{c}` IS NOT NULL THEN `{layout.time}` END) AS `{c}`") for c in columns)
     )
+    earlier = f"PARTITION BY `{chunk[0]}` ORDER BY `{chunk[1]}` ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    entering = summaries.selectExpr(*(f"`{c}`" for c in chunk), *(f"last(`{c}`, true) OVER ({earlier}) AS `_before_{c}`" for c in columns))
+    inside = f"PARTITION BY {last} ORDER BY `{layout.time}` ROWS UNBOUNDED PRECEDING"
+    others = [f"`{c}`" for c in dealt.columns if c not in columns]
+    filled = dealt.selectExpr(*others, *(f"last(`{c}`, true) OVER ({inside}) AS `{c}`" for c in columns))
+    return filled.join(entering, chunk, "left").selectExpr(*others, *(f"coalesce(`{c}`, `_before_{c}`) AS `{c}`" for c in columns))

@@ -1,122 +1,119 @@
 """Exact grouped quantiles that stay distributed for groups of any size.
 
 The built-in exact percentile keeps every distinct value of a group in one task. Here a group is
-split by value instead: equal values are counted before the shuffle and counts are summed over coarse
-value bands. The bands that hold a wanted rank are divided again, evenly over the values they really
-hold, and only the parts that hold a wanted rank are ranked row by row. The first division follows the
-size of the values, whatever their spread; the second follows their spread, whatever their size, so
+split by value instead. Equal values are counted before the shuffle, and the counts are summed over
+value bands. A running count over the bands of a group finds those that hold a wanted rank. A band that
+holds a single value, as nearly all do in groups of usual size or resolution, is an answer already;
+everything below is then empty, and runtime re-planning drops it. The others are divided again,
+evenly between the least and the greatest value that they really hold, and only parts with a wanted rank
+are ranked row by row. The first division follows the size of the values, whatever their spread; the
+second follows their spread, whatever their size: an outlier leaves close values their own band, and
 values far from zero are split too. The result is the same linear interpolation between ranks.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Bands per doubling of the value, so one band spans about 0.07 % of it.
-_BANDS = 1024
-# Parts of a band that holds a wanted rank.
+# Bands per doubling of the value, so one band spans about 0.004 % of it.
+_BANDS = 1 << 14
+# Parts of a band that holds several values and a wanted rank.
 _PARTS = 4096
-# Puts the band of the smallest positive double above zero.
-_BAND_OFFSET = 1100 * _BANDS
-# Above the band of the largest double.
-_TOP_BAND = 1025.0 * _BANDS
 
-
-def _band(value: Column) -> Column:
-    """Coarse whole-number band of a double, never decreasing as the value grows; infinity included."""
-    size = F.floor(F.least(F.log2(F.abs(value)) * _BANDS, F.lit(_TOP_BAND))) + _BAND_OFFSET
-    return F.coalesce(F.when(value > 0, size).when(value < 0, -size), F.lit(0).cast("bigint"))
-
-
-def _rank_names(quantiles: dict[str, float]) -> list[str]:
-    return [f"{name}{i}" for i in range(len(quantiles)) for name in ("_low", "_high", "_part")]
-
-
-def _holds(ranks: list[Column], start: Column, end: Column) -> Column:
-    """Whether any of the ranks lies in [start, end)."""
-    return reduce(or_, ((start <= rank) & (rank < end) for rank in ranks))
+# Coarse whole-number band of a double, never decreasing as the value grows; infinity included. The offset puts the
+# band of the smallest positive double above zero, and the cut stands above that of the largest.
+_SIZE = f"floor(least(log2(abs(_value)) * {_BANDS}, {1025.0 * _BANDS}D)) + {1100 * _BANDS}L"
+_BAND = f"CASE WHEN _value > 0 THEN {_SIZE} WHEN _value < 0 THEN -({_SIZE}) ELSE 0L END"
 
 
 def group_quantiles(
-    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], approx: bool = False
+    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], approx: bool = False, mean: str | None = None
 ) -> DataFrame:
     """Quantiles of ``value`` per group, one column per entry of ``quantiles`` (name to fraction).
 
-    Nulls are skipped; groups without any value and rows without a full key are left out. ``approx=True`` answers from a
-    bounded sketch in one shuffle: cheaper, but only close, and without interpolation.
+    Nulls are skipped; groups without any value and rows without a full key are left out. ``mean`` names a column for the
+    mean, summed along with the counts. ``approx=True`` answers quantiles from a bounded sketch in one shuffle:
+    cheaper, but only close, and without interpolation.
     """
     rows = df.select(*keys, F.col(value).alias("_value"))
     # Asking for all keys up front keeps both uses of the counts below one and the same shuffle.
     rows = rows.where(reduce(and_, (F.col(column).isNotNull() for column in rows.columns)))
     if approx:
+        average = [F.avg("_value").alias(mean)] if mean else []
         return rows.groupBy(*keys).agg(
-            *(F.percentile_approx("_value", p, 10_000).alias(name) for name, p in quantiles.items())
+            *(F.percentile_approx("_value", p, 10_000).alias(name) for name, p in quantiles.items()), *average
         )
+    found = quantile_parts(rows, keys, quantiles, mean)
+    return found.groupBy(*keys).agg(*(F.sum(name).alias(name) for name in quantiles), *([F.max(mean).alias(mean)] if mean else []))
 
-    # Shuffled by key and value: a hot group spreads over all tasks, a hot value collapses to a row.
-    counted = (
-        rows.withColumn("_band", _band(F.col("_value")))
-        .groupBy(*keys, "_band", "_value")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-
-    # Per group a few rows per band; find the bands that hold a wanted rank.
-    along = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)
-    bands = (
-        counted.groupBy(*keys, "_band")
-        .agg(F.sum("_n").alias("_band_n"), F.min("_value").alias("_least"), F.max("_value").alias("_most"))
-        .withColumns({
-            "_upto": F.sum("_band_n").over(along),
-            "_total": F.sum("_band_n").over(Window.partitionBy(*keys)),
-        })
-    )
-    ranks, wanted_ranks = [], []
-    for i, p in enumerate(quantiles.values()):
-        position = (F.col("_total") - 1) * F.lit(float(p))
-        low, high = F.floor(position), F.ceil(position)
-        ranks += [low.alias(f"_low{i}"), high.alias(f"_high{i}"), (position - low).alias(f"_part{i}")]
-        wanted_ranks += [low, high]
-    wanted = bands.where(_holds(wanted_ranks, F.col("_upto") - F.col("_band_n"), F.col("_upto"))).select(
-        *keys, "_band", "_least", "_most", (F.col("_upto") - F.col("_band_n")).alias("_start"), *ranks
-    )
-
-    # The same again inside these bands.
-    share = F.try_divide(F.col("_value") - F.col("_least"), F.col("_most") - F.col("_least"))
-    part = F.when((share > 0) & (share <= 1), F.floor(share * _PARTS)).otherwise(0).cast("int")
-    parted = counted.join(wanted, [*keys, "_band"]).withColumn("_part", part)
-    upto = Window.partitionBy(*keys, "_band").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
-    parts = (
-        parted.groupBy(*keys, "_band", "_part")
-        .agg(F.sum("_n").alias("_part_n"), *(F.first(c).alias(c) for c in _rank_names(quantiles)), F.first("_start").alias("_start"))
-        .withColumn("_upto", F.col("_start") + F.sum("_part_n").over(upto))
-    )
-    names = [F.col(c) for c in _rank_names(quantiles) if not c.startswith("_part")]
-    chosen = parts.where(_holds(names, F.col("_upto") - F.col("_part_n"), F.col("_upto"))).select(
-        *keys, "_band", "_part", (F.col("_upto") - F.col("_part_n")).alias("_before")
-    )
-    inside = (
-        Window.partitionBy(*keys, "_band", "_part").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = parted.join(chosen, [*keys, "_band", "_part"]).withColumn(
-        "_end", F.col("_before") + F.sum("_n").over(inside)
-    )
-
-    def at(rank: str) -> Column:
-        covers = (F.col("_end") - F.col("_n") <= F.col(rank)) & (F.col(rank) < F.col("_end"))
-        return F.max(F.when(covers, F.col("_value")))
-
-    found = []
-    for i in range(len(quantiles)):
-        found += [at(f"_low{i}").alias(f"_lo{i}"), at(f"_high{i}").alias(f"_hi{i}"),
-                  F.max(f"_part{i}").alias(f"_w{i}")]
-    return ranked.groupBy(*keys).agg(*found).select(
-        *keys,
-        *(
-            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}")).alias(name)
-            for i, name in enumerate(quantiles)
-        ),
-    )
+
+def quantile_parts(rows: DataFrame, keys: list[str], quantiles: dict[str, float], mean: str | None = None) -> DataFrame:
+    """Few rows per group whose sums, null where there is nothing to add, are the quantiles of ``_value``.
+
+    A quantile between two ranks is a share of the value at each; they may stand in rows of their own. ``mean`` is the
+    same in all rows of a group. Keys and values are not null.
+    """
+    places = range(len(quantiles))
+    by = ", ".join(f"`{key}`" for key in keys)
+    ranks = [f"{name}{i}" for i in places for name in ("_low", "_high")]
+    carried = ", ".join([*ranks, *(f"_share{i}" for i in places), *(["_mean"] if mean else [])])
+    at = [f"((_total - 1) * {float(p)!r}D)" for p in quantiles.values()]
+    positions = ", ".join(f"floor({p}) AS _low{i}, ceil({p}) AS _high{i}, {p} - floor({p}) AS _share{i}" for i, p in enumerate(at))
+    share = "try_divide(_value - _least, _most - _least)"
+
+    def holding(start: str, end: str) -> str:
+        return " OR ".join(f"({rank} >= {start} AND {rank} < {end})" for rank in ranks)
+
+    def only(text: str) -> str:
+        return text if mean else ""
+
+    def answers(value: str) -> str:
+        """What a value that holds the ranks from _start up to _end adds to each quantile."""
+        out = []
+        for i, name in enumerate(quantiles):
+            low, high = (f"{rank} >= _start AND {rank} < _end" for rank in (f"_low{i}", f"_high{i}"))
+            out.append(
+                f"CASE WHEN {low} AND {high} THEN {value} WHEN {low} THEN {value} * (1 - _share{i})"
+                f" WHEN {high} THEN {value} * _share{i} END AS `{name}`"
+            )
+        return ", ".join(out) + only(f", _mean AS `{mean}`")
+
+    # counted: shuffled by key and value, so a hot group spreads over all tasks and a hot value collapses to a row.
+    # wanted: the bands that hold a wanted rank. parted, ranked: the same again inside those of several values.
+    return rows.sparkSession.sql(f"""
+        WITH counted AS (
+          SELECT {by}, _band, _value, count(1) AS _n FROM (SELECT {by}, _value, {_BAND} AS _band FROM {{rows}}) GROUP BY {by}, _band, _value
+        ), bands AS (
+          SELECT {by}, _band, sum(_n) AS _in, min(_value) AS _least, max(_value) AS _most {only(", sum(_value * _n) AS _sum")}
+          FROM counted GROUP BY {by}, _band
+        ), placed AS (
+          SELECT {by}, _band, _least, _most, _in, sum(_in) OVER (PARTITION BY {by} ORDER BY _band ROWS UNBOUNDED PRECEDING) AS _end,
+                 sum(_in) OVER (PARTITION BY {by}) AS _total {only(f", sum(_sum) OVER (PARTITION BY {by}) AS _sum")}
+          FROM bands
+        ), wanted AS (
+          SELECT * FROM (
+            SELECT {by}, _band, _least, _most, _end - _in AS _start, _end, {positions} {only(", _sum / _total AS _mean")} FROM placed
+          ) WHERE {holding("_start", "_end")}
+        ), parted AS (
+          SELECT {by}, _band, _value, _n, _start, {carried},
+                 CASE WHEN {share} > 0 AND {share} <= 1 THEN cast(floor({share} * {_PARTS}) AS int) ELSE 0 END AS _part
+          FROM counted JOIN (SELECT {by}, _band, _least, _most, _start, {carried} FROM wanted WHERE _least < _most) USING ({by}, _band)
+        ), parts AS (
+          SELECT {by}, _band, _part, _in, {", ".join(ranks)},
+                 _start + sum(_in) OVER (PARTITION BY {by}, _band ORDER BY _part ROWS UNBOUNDED PRECEDING) AS _end
+          FROM (SELECT {by}, _band, _part, sum(_n) AS _in, max(_start) AS _start, {", ".join(f"max({r}) AS {r}" for r in ranks)}
+                FROM parted GROUP BY {by}, _band, _part)
+        ), ranked AS (
+          SELECT {by}, _value, _n, {carried},
+                 _before + sum(_n) OVER (PARTITION BY {by}, _band, _part ORDER BY _value ROWS UNBOUNDED PRECEDING) AS _end
+          FROM (SELECT {by}, _band, _part, _value, _n, {carried} FROM parted)
+          JOIN (SELECT {by}, _band, _part, _end - _in AS _before FROM parts WHERE {holding("_end - _in", "_end")}) USING ({by}, _band, _part)
+        )
+        SELECT {by}, {answers("_least")} FROM wanted WHERE _least = _most
+        UNION ALL
+        SELECT {by}, {answers("_value")} FROM (SELECT *, _end - _n AS _start FROM ranked) WHERE {holding("_start", "_end")}
+    """, rows=rows)

@@ -82,7 +82,7 @@ def patient_list(readings: DataFrame, layout: Layout = PATIENTS) -> DataFrame:
 
 def patient_date_bounds(readings: DataFrame, layout: Layout = PATIENTS) -> DataFrame:
     """First and last calendar date per entity."""
-    return readings.groupBy(layout.entity).agg(
+    return readings.where(F.col(layout.entity).isNotNull()).groupBy(layout.entity).agg(
         F.to_date(F.min(layout.time)).alias("first_date"),
         F.to_date(F.max(layout.time)).alias("last_date"),
     )
@@ -91,7 +91,7 @@ def patient_date_bounds(readings: DataFrame, layout: Layout = PATIENTS) -> DataF
 def available_signals(readings: DataFrame, layout: Layout = PATIENTS) -> DataFrame:
     """Per entity and signal: does it have any value at all?"""
     present = layout.present(readings)
-    counts = readings.groupBy(layout.entity).agg(*(F.count(s).alias(s) for s in present))
+    counts = readings.where(F.col(layout.entity).isNotNull()).groupBy(layout.entity).agg(*(F.count(s).alias(s) for s in present))
     return counts.unpivot([layout.entity], present, "signal", "n").select(
         layout.entity, "signal", (F.col("n") > 0).alias("available")
     )

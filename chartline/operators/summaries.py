@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartline.functions.times import ntz, seconds_between
@@ -50,16 +50,39 @@ def event_rates(
 
 def event_type_counts(events: DataFrame, layout: Layout = PATIENTS) -> DataFrame:
     """Events per entity and type, missing types skipped, most frequent first."""
+    return _type_counts(events, layout).orderBy(layout.entity, F.desc("count"), layout.event_type)
+
+
+def _type_counts(events: DataFrame, layout: Layout) -> DataFrame:
     if layout.event_type not in events.columns:
         events = events.withColumn(layout.event_type, F.lit(None).cast("string"))
     return (
         events.where(F.col(layout.entity).isNotNull() & F.col(layout.event_type).isNotNull())
         .groupBy(layout.entity, layout.event_type)
         .agg(F.count(F.lit(1)).alias("count"))
-        .orderBy(layout.entity, F.desc("count"), layout.event_type)
     )
 
 
+def event_type_ranks(events: DataFrame, layout: Layout = PATIENTS) -> DataFrame:
+    """Events per entity and type with the place of each type, 1 for the most frequent; ties go by name.
+
+    The order is in the rows, so it outlives shuffles and files.
+    """
+    order = Window.partitionBy(layout.entity).orderBy(F.desc("count"), layout.event_type)
+    return _type_counts(events, layout).withColumn("rank", F.row_number().over(order))
+
+
+def event_type_map(events: DataFrame, layout: Layout = PATIENTS) -> DataFrame:
+    """One row per entity with events of known type: a map of type to count, most frequent first."""
+    ordered = Window.partitionBy(layout.entity).orderBy(F.desc("count"), layout.event_type)
+    entry = F.struct(F.col(layout.event_type), F.col("count"))
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    listed = _type_counts(events, layout).select(
+        layout.entity, F.collect_list(entry).over(whole).alias("_entries"), F.row_number().over(ordered).alias("_rank")
+    )
+    return listed.where(F.col("_rank") == 1).select(layout.entity, F.map_from_entries("_entries").alias("type_counts"))
+
+
 def patient_summary(
     readings: DataFrame, events: DataFrame, layout: Layout = PATIENTS
 ) -> DataFrame:
@@ -113,9 +136,14 @@ def summary_cards(
     signals=None,
     layout: Layout = PATIENTS,
 ) -> DataFrame:
-    """Rounded mean, min and max per signal next to the entity's event total and daily rate."""
+    """Rounded mean, min and max per signal next to the entity's event total and daily rate.
+
+    An entity with readings or events has a card for each signal; without readings only its events are on it.
+    """
     key = layout.entity
-    stats = signal_stats(readings, signals, layout=layout)
+    # Entities that only have events join the readings as rows without a value.
+    axis = events.select(key, ntz("1970-01-01 00:00:00").alias(layout.time))
+    stats = signal_stats(readings.unionByName(axis, allowMissingColumns=True), signals, layout=layout)
     rates = event_rates(events, start, end, layout=layout)
     return stats.join(rates, key, "left").select(
         key,

@@ -17,7 +17,7 @@ from chartline.functions.text import interval_label, parse_timestamp
 from chartline.functions.times import MICROS, add_micros, epoch_micros, floor_time, ntz
 from chartline.layout import Layout
 from chartline.operators import bins, combine, context, density, limits, nearest, profile, select, summaries
-from chartline.sources import ingest
+from chartline.sources import ingest, sinks
 
 SIGNALS = ("click", "view", "purchase", "signup")
 USERS = Layout(entity="user_id", time="ts", signals=SIGNALS)
@@ -325,6 +325,26 @@ def event_type_counts(spark, sf_dir):
     return summaries.event_type_counts(happened(spark, sf_dir), USERS)
 
 
+@query
+def event_type_ranks(spark, sf_dir):
+    return summaries.event_type_ranks(happened(spark, sf_dir), USERS)
+
+
+@query
+def event_type_map(spark, sf_dir):
+    """The map as text, in its own order."""
+    found = summaries.event_type_map(happened(spark, sf_dir), USERS)
+    return found.select("user_id", F.to_json("type_counts").alias("type_counts"))
+
+
+@query
+def cards_of_all(spark, sf_dir):
+    """Readings of the users with a high click only, so that the others have nothing but events."""
+    rows = readings(spark, sf_dir)
+    clicked = rows.where("click > 150").select("user_id").distinct()
+    return summaries.summary_cards(rows.join(clicked, "user_id", "left_semi"), happened(spark, sf_dir), *MONTH, layout=USERS)
+
+
 @query
 def patient_summary(spark, sf_dir):
     return summaries.patient_summary(readings(spark, sf_dir), happened(spark, sf_dir), USERS)
@@ -499,6 +519,31 @@ def sorted_readings(spark, sf_dir):
     return combine.sorted_readings(readings(spark, sf_dir), USERS)
 
 
+@query
+def numbered_readings(spark, sf_dir):
+    return sinks.numbered(readings(spark, sf_dir), layout=USERS)
+
+
+@query
+def combine_feeds_repeated(spark, sf_dir):
+    """Feeds by user and day: all rows of a user and day multiply."""
+    daily = [feed.withColumn("ts", floor_time(F.col("ts"), 86_400)) for feed in feeds(spark, sf_dir)]
+    return combine.combine_feeds(daily[:2], layout=USERS, hot_rows=2)
+
+
+@query
+def parse_time_forms(spark, sf_dir):
+    """Texts without a date, with parts of a time of day, with offsets in several forms."""
+    day, clock = F.col("ts").cast("string").substr(1, 10), F.date_format("ts", "HH:mm")
+    kind = F.col("event_id") % 7
+    text = (
+        F.when(kind == 0, F.concat(clock, F.lit(":00Z"))).when(kind == 1, F.concat(F.lit("T"), clock, F.lit(":00Z")))
+        .when(kind == 2, F.concat_ws(" ", day, F.concat(clock, F.lit("+05")))).when(kind == 3, F.concat(day, F.lit("T"), F.substring(clock, 1, 2), F.lit("+05:00")))
+        .when(kind == 4, F.concat(day, F.lit("T"), F.substring(clock, 1, 2))).when(kind == 5, day).otherwise(F.concat(day, F.lit("T"), clock, F.lit(":00EST")))
+    )
+    return table(spark, sf_dir).select("event_id", parse_timestamp(text).alias("parsed"))
+
+
 @query
 def event_context(spark, sf_dir):
     return rounded(

@@ -235,6 +235,13 @@ ORACLE["event_rates_in_range"] = (
 ORACLE["event_type_counts"] = _with(HAPPENED) + """
 select user_id, kind as seizure_type, count(*) as count from happened
 group by all order by user_id, count desc, seizure_type"""
+ORACLE["event_type_ranks"] = _with(HAPPENED) + """
+select user_id, kind as seizure_type, count(*) as count,
+       row_number() over (partition by user_id order by count(*) desc, kind) as rank
+from happened group by user_id, kind"""
+ORACLE["event_type_map"] = _with(HAPPENED) + """
+select user_id, '{' || string_agg('"' || kind || '":' || n, ',' order by n desc, kind) || '}' as type_counts
+from (select user_id, kind, count(*) as n from happened group by user_id, kind) group by user_id"""
 ORACLE["patient_summary"] = _with(READINGS, HAPPENED) + """
 select r.user_id, count(*) as total_records, min(ts) as first_time, max(ts) as last_time,
        (select count(*) from happened h where h.user_id = r.user_id) as event_count
@@ -247,17 +254,22 @@ select (select count(*) from readings) as reading_rows, (select count(*) from ha
        (select count(distinct user_id) from readings) as patients"""
 
 _EXACT = "cast(round(cast({x} as decimal(38, 9)), {d}) as double)"
-ORACLE["summary_cards"] = (
-    _with(
-        USERS, EVERYONE, SIGNAL_LIST, LONG, _STATS, HAPPENED,
-        _RATES.format(span=_SPAN_RANGE.replace(START, FIRST).replace(END, LAST), cond=""),
-    )
-    + f"""
+_ANYONE = "users as (select distinct user_id from events)"
+_MONTH_RATES = _RATES.format(span=_SPAN_RANGE.replace(START, FIRST).replace(END, LAST), cond="")
+_CARDS = f"""
 select user_id, signal, {_EXACT.format(x='mean', d=1)} as mean, {_EXACT.format(x='lo', d=1)} as min,
        {_EXACT.format(x='hi', d=1)} as max, total_count,
        {_EXACT.format(x='total_count / (hours / 24)', d=2)} as per_day
 from stats join rates using (user_id)"""
-)
+ORACLE["summary_cards"] = _with(_ANYONE, EVERYONE, SIGNAL_LIST, LONG, _STATS, HAPPENED, _MONTH_RATES) + _CARDS
+ORACLE["cards_of_all"] = _with(
+    "clicked as (select distinct user_id from events where event_type = 'click' and value > 150)",
+    "users as (select user_id from clicked union select user_id from events where event_type = 'error')",
+    EVERYONE, SIGNAL_LIST,
+    "long as (select user_id, ts, event_type as signal, value from events semi join clicked using (user_id)"
+    " where event_type <> 'error' and value is not null)",
+    _STATS, HAPPENED, _MONTH_RATES,
+) + _CARDS
 
 # Time bins.
 
@@ -366,6 +378,16 @@ select user_id, date_trunc('hour', ts) as ts, {_each('max({s}) as {s}')} from re
 group by user_id, date_trunc('hour', ts)"""
 ORACLE["union_patients"] =_with(READINGS) + "select * from readings"
 ORACLE["sorted_readings"] = _with(READINGS) + "select * from readings order by user_id, ts"
+ORACLE["numbered_readings"] = _with(READINGS) + "select row_number() over (order by user_id, ts) as ordinal, * from readings"
+ORACLE["combine_feeds_repeated"] = """
+select user_id, ts, click, view
+from (select user_id, date_trunc('day', ts) as ts, value as click from events where event_type = 'click')
+full join (select user_id, date_trunc('day', ts) as ts, value as view from events where event_type = 'view') using (user_id, ts)"""
+ORACLE["parse_time_forms"] = """
+select event_id, case event_id % 7
+    when 2 then date_trunc('minute', ts) - interval 5 hour when 3 then date_trunc('hour', ts) - interval 5 hour
+    when 4 then date_trunc('hour', ts) when 5 then date_trunc('day', ts) end as parsed
+from events"""
 ORACLE["event_context"] = _with(HAPPENED, SIGNAL_LIST, LONG) + """
 select h.user_id, h.moment as event_time, s.signal, round(avg(value), 6) as mean,
        round(min(value), 6) as min, round(max(value), 6) as max, count(value) as count

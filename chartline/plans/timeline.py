@@ -15,12 +15,14 @@ from chartline.operators.density import event_density
 from chartline.operators.limits import threshold_breaches
 from chartline.operators.nearest import nearest_reading
 from chartline.operators.profile import sampling_profile, signal_stats
-from chartline.operators.select import filter_patient, filter_time_range, valid_intervals
+from chartline.operators.select import available_signals, filter_patient, filter_time_range, patient_date_bounds, valid_intervals
 from chartline.operators.summaries import event_rates, event_type_counts, summary_cards
 
 
 @dataclass
 class Timeline:
+    bounds: DataFrame
+    signals: DataFrame
     readings: DataFrame
     events: DataFrame
     profile: DataFrame
@@ -40,7 +42,7 @@ def patient_timeline(
     readings: DataFrame,
     events: DataFrame,
     patient,
-    first_day: dt.date,
+    first_day: dt.date | None = None,
     last_day: dt.date | None = None,
     granularity: str = "auto",
     aggregation: str = "mean",
@@ -54,14 +56,27 @@ def patient_timeline(
 ) -> Timeline:
     """Filter to one patient and whole calendar days, then derive every view of them.
 
-    Statistics use the readings as they are; event markers sit on the resampled series.
+    ``bounds`` and ``signals`` tell what there is to choose from: first and last day, and signals with any value, of
+    all readings of the patient. Without ``first_day`` the view covers these days, which are read at once; a patient
+    without readings then needs days. With ``last_day`` alone it covers all days up to that one.
+    Statistics use the readings as they are; event markers sit on the resampled series. Density, rates and cards are
+    on the axis of the range, for a patient without a single reading too.
     """
+    known = filter_patient(readings, patient, layout)
+    bounds = patient_date_bounds(known, layout)
+    if first_day is None:
+        found = bounds.where("first_date IS NOT NULL").head()
+        if found is None:
+            raise ValueError(f"no readings of {patient!r} to take the days from: name first_day")
+        first_day, last_day = found.first_date, found.last_date if last_day is None else last_day
     start, end = calendar_bounds(first_day, last_day)
-    own = filter_time_range(filter_patient(readings, patient, layout), start, end, layout)
+    own = filter_time_range(known, start, end, layout)
     happened = filter_time_range(filter_patient(events, patient, layout), start, end, layout)
     one = readings.sparkSession.createDataFrame([(patient,)], readings.select(layout.entity).schema)
     series = resample(own, granularity, aggregation, show_band, ffill, signals, layout=layout)
     return Timeline(
+        bounds=bounds,
+        signals=available_signals(known, layout),
         readings=own,
         events=happened,
         profile=sampling_profile(own, layout=layout),
@@ -70,7 +85,7 @@ def patient_timeline(
         types=event_type_counts(happened, layout),
         cards=summary_cards(own, happened, start, end, signals, layout),
         series=series,
-        density=event_density(happened, density_bin, start, end, own, layout),
+        density=event_density(happened, density_bin, start, end, one, layout),
         markers=nearest_reading(series, happened, signals, layout),
         intervals=valid_intervals(happened, layout),
         breaches=threshold_breaches(own, limits, layout),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chartline.functions.text import number, parse_timestamp, truthy
 from chartline.functions.times import from_epoch_micros
 from chartline.layout import EVENTS_SCHEMA, PATIENTS, Layout
-from chartline.operators.combine import dedupe_readings
+from chartline.operators.combine import dedupe_readings, union_patients
 
 # Upload columns besides the signals, and the id given to uploads without one.
 REQUIRED_COLUMNS = ("timestamp",)
@@ -47,11 +47,31 @@ class Upload:
     report: DataFrame
 
 
-def read_upload(spark: SparkSession, path, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
+def _files_by_header(spark: SparkSession, path) -> dict[str, list[str]]:
+    """The files of each first line. Only the first split of a file is read for it; the driver gets a row for each file."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value",
+        F.monotonically_increasing_id().alias("line"),
+    )
+    firsts = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for file, header in sorted(tuple(r) for r in firsts.collect()):
+        groups.setdefault(header.rstrip("\r"), []).append(file)
+    if not groups:
+        raise DataValidationError(f"no file with a header in {path!r}")
+    return groups
+
+
+def read_upload(spark: SparkSession, path, fmt: str = "csv", multi_line: bool = False, by_header: bool = False) -> DataFrame:
     """The raw table plus an ordinal that follows file and row order. CSV columns stay text.
 
-    ``multi_line`` allows line breaks inside quoted CSV fields; a file is then read by one task.
+    ``multi_line`` allows line breaks inside quoted CSV fields; a file is then read by one task. ``by_header`` allows CSV
+    files of unlike headers: files are grouped by their first line, each group is one scan, and columns meet by name;
+    a column that a file lacks is null there.
     """
+    if by_header and fmt == "csv":
+        groups = _files_by_header(spark, path).values()
+        return union_patients([read_upload(spark, files, fmt, multi_line) for files in groups])
     options = CSV_OPTIONS | {"multiLine": str(multi_line).lower()} if fmt == "csv" else {}
     raw = spark.read.options(**options).format(fmt).load(path)
     return raw.select(
@@ -223,13 +243,16 @@ def load_upload(
     strict: bool = False,
     store: str | None = None,
     layout: Layout = PATIENTS,
+    multi_line: bool = False,
+    by_header: bool = False,
 ) -> Upload:
     """Read, check and clean an upload. ``strict`` fails on the first unusable time instead of skipping it.
 
     Readings and events both come from the cleaned rows; with ``store``, a path that all executors share,
-    those are written there once as Parquet and read again, so that using both does not clean twice.
+    those are written there once as Parquet and read again, so that using both does not clean twice. ``multi_line``
+    and ``by_header`` are those of ``read_upload``.
     """
-    raw = read_upload(spark, path, fmt)
+    raw = read_upload(spark, path, fmt, multi_line, by_header)
     check = validate_columns(raw.columns, layout)
     if not check.valid:
         raise DataValidationError(check.error)

@@ -55,6 +55,21 @@ def cuts(data: np.ndarray, offsets: np.ndarray, marks: bytes, points: bytes = b"
     return np.flatnonzero(begins[:-1])
 
 
+def byte_letters() -> dict[str, int]:
+    """What byte-level vocabularies write for bytes: printable ones stand for themselves, the others for characters from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in set(plain))
+    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(others)}
+
+
+def unlike(data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(the unlike chunks, which of them each chunk is); data begins with the first chunk."""
+    borders = np.append(starts, len(data)).astype(np.int64)
+    array = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(borders), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = array.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 class ChunkCache:
     """What `made` gives for a list of unlike chunks, kept while there is room."""
 
@@ -65,10 +80,10 @@ class ChunkCache:
 
     def entries(self, data: np.ndarray, starts: np.ndarray) -> tuple[list[Any], np.ndarray]:
         """(entries of the unlike chunks, which of them each chunk is); data begins with the first chunk."""
-        borders = np.append(starts, len(data)).astype(np.int64)
-        array = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(borders), pa.py_buffer(np.ascontiguousarray(data))])
-        coded = array.dictionary_encode()
-        unlike = coded.dictionary.to_pylist()
+        found, which = unlike(data, starts)
+        return self.of(found.to_pylist()), which
+
+    def of(self, unlike: list[str]) -> list[Any]:
         held = self.held
         out = [held.get(chunk, held) for chunk in unlike]  # held itself stands for what is missing
         missing = [k for k, entry in enumerate(out) if entry is held]
@@ -81,7 +96,7 @@ class ChunkCache:
             if len(held) + len(missing) > MOST_CHUNKS:
                 self.aside, self.held = held, {}
             self.held.update((unlike[k], out[k]) for k in missing if len(unlike[k]) <= LONGEST_KEPT)
-        return out, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        return out
 
 
 def gathered(parts: list[bytes], which: np.ndarray, dtype) -> tuple[np.ndarray, np.ndarray]:

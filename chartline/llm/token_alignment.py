@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartline.llm import flat
-from chartline.llm.chunks import ChunkCache, cuts, gathered
+from chartline.llm.chunks import ChunkCache, byte_letters, cuts, gathered
 
 SENT_PAIRS = 4_000_000
 SLICE_BYTES = 4 << 20
@@ -118,10 +118,7 @@ class Aligner:
 
     @staticmethod
     def _byte_level(model) -> list[bytes]:
-        """The bytes of each entry: printable bytes stand for themselves, the others for characters from U+0100 on."""
-        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        byte_of = {chr(b): b for b in plain}
-        byte_of |= {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+        byte_of = byte_letters()
         out = []
         for k in range(model.get_vocab_size()):
             entry = model.id_to_token(k)

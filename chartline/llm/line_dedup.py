@@ -12,8 +12,11 @@ Repeated rows are treated alike. No rows are dropped.
 
 Counts are made per (host, line) after a partial count on each task, so a host with a third of all pages is
 split by line. The boilerplate of a host is at most (lines of a page / ratio) hashes, as each is on that share
-of its pages. It meets the pages by a join on the host and one of SALTS parts of it, chosen by text, so that a
-host with a third of all pages is dealt out too.
+of its pages. It is written, and its size is known: up to SENT_LINES hashes it is sent to all tasks, so that no text
+is shuffled. Beyond that it meets the pages by a join on the host, in which the few hosts that hold more than one part
+in (shuffle partitions) of all rows are dealt out over as many parts, row by row. Both ways give the same.
+
+Columns of docs may have any names but those of the two counts, which are replaced.
 """
 
 from __future__ import annotations
@@ -21,9 +24,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chartline.llm import flat
+from chartline.sizing import task_count
+
 MIN_PAGES = 10
 RATIO = 0.05
-SALTS = 64
+SENT_LINES = 500_000
 
 
 def boilerplate(
@@ -48,24 +54,43 @@ def boilerplate(
 
 def drop_boilerplate(
     docs: DataFrame, *, host: str = "source", text: str = "text", min_pages: int = MIN_PAGES, ratio: float = RATIO,
-    n_lines: str = "n_lines", n_dropped: str = "n_dropped", groups: DataFrame | None = None,
+    n_lines: str = "n_lines", n_dropped: str = "n_dropped", groups: DataFrame | None = None, sent_lines: int = SENT_LINES,
 ) -> DataFrame:
     """All rows and columns of docs with the text without boilerplate lines, and two counts (of that name, replaced)."""
-    found = boilerplate(docs, host=host, text=text, min_pages=min_pages, ratio=ratio, groups=groups).select(
-        F.col("host").alias("_of"), F.col("lines").alias("_gone"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt")
-    )
-    rows = docs.drop(n_lines, n_dropped, "_of", "_gone", "_salt", "_lines", "_kept")
-    joined = rows.join(found, F.col(host).eqNullSafe(F.col("_of")) & (F.pmod(F.xxhash64(text), F.lit(SALTS)) == F.col("_salt")), "left")
-    lines = joined.withColumn("_lines", F.split(F.col(text), "\n"))
-    kept = lines.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(
-        F.filter("_lines", lambda line: (line == "") | ~F.array_contains("_gone", F.xxhash64(line)))
+    docs = docs.drop(n_lines, n_dropped)
+    found = flat.written(boilerplate(docs, host=host, text=text, min_pages=min_pages, ratio=ratio, groups=groups))
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))
+    size = found.agg(F.coalesce(F.sum(F.size("lines") + 1), F.lit(0)).alias("n")).first().n
+    joined = _sent(rows, found) if size <= sent_lines else _dealt(rows, found, task_count(docs))
+    lines = joined.withColumn("lines", F.split("text", "\n"))
+    kept = lines.withColumn("kept", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(
+        F.filter("lines", lambda line: (line == "") | ~F.array_contains("gone", F.xxhash64(line)))
     ))
-    done = kept.withColumn(text, F.when(F.size("_kept") == F.size("_lines"), F.col(text)).otherwise(F.array_join("_kept", "\n")))
-    sized = done.withColumns({
-        n_lines: F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long"),
-        n_dropped: F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long"),
-    })
-    return sized.drop("_of", "_gone", "_salt", "_lines", "_kept")
+    cut = F.when(F.size("kept") == F.size("lines"), F.col("text")).otherwise(F.array_join("kept", "\n"))
+    return kept.select(*(cut.alias(text) if c == text else F.col(f"row.`{c}`") for c in docs.columns),
+        F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias(n_lines),
+        F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("long").alias(n_dropped),
+    )
+
+
+def _sent(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with `gone`, the boilerplate of their host; its size was checked."""
+    found = F.broadcast(found.select(F.col("host").alias("of"), F.col("lines").alias("gone")))
+    return rows.join(found, F.col("host").eqNullSafe(F.col("of")), "left").drop("of")
+
+
+def _dealt(rows: DataFrame, found: DataFrame, parts: int) -> DataFrame:
+    """The same by a shuffle. Hosts with more than one part of all rows are dealt out; there are fewer than `parts`."""
+    counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    total = rows.count()
+    hot = F.broadcast(counts.where(F.col("n") * parts > total).select(F.col("host").alias("of"), F.lit(parts).alias("parts")))
+    same = F.col("host").eqNullSafe(F.col("of"))
+    salted = rows.join(hot, same, "left").drop("of").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("parts", F.lit(1)))).drop("parts")
+    spread = (
+        found.join(hot, same, "left").drop("of")
+        .select(F.col("host").alias("of"), F.col("lines").alias("gone"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1)).alias("part"))
+    )
+    return salted.join(spread, same & (F.col("salt") == F.col("part")), "left").drop("of", "part", "salt")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

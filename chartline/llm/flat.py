@@ -16,6 +16,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
 BATCH_BYTES = 4 << 20
@@ -211,3 +212,57 @@ def written(df: DataFrame) -> DataFrame:
     folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+BLOOM_BITS = 1 << 27
+
+
+class Bloom:
+    """A Bloom filter over 64-bit hashes: a shuffle is spared for rows that it does not hold.
+
+    It is sized for the hashes counted, up to BLOOM_BITS (16 MB), and is built in parts by the tasks. Beyond
+    that it lets more rows through by chance; what it holds it never denies. An exact join follows it.
+    """
+
+    def __init__(self, hashes: DataFrame):
+        """hashes: one column of 64-bit hashes."""
+        n = hashes.count()
+        self.bits = min(BLOOM_BITS, max(1 << 12, 1 << (16 * n).bit_length()))
+        bits = self.bits
+
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            line = np.zeros(bits, bool)
+            for batch in batches:
+                for at in Bloom.places(batch.column(0).to_numpy(), bits):
+                    line[at] = True
+            packed = np.packbits(line, bitorder="little").view("<i8")
+            word = np.flatnonzero(packed)
+            for k in range(0, len(word), 1 << 16):
+                some = word[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(packed[some])], names=["word", "bits"])
+
+        found = mapped(hashes, parts, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        line = np.zeros(bits // 64, "<i8")
+        line[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+        self.sent = hashes.sparkSession.sparkContext.broadcast(line.view(np.uint8))
+
+    @staticmethod
+    def places(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+        x = hashes.astype(np.int64).view(np.uint64)
+        for k in range(4):
+            yield (mix(x + np.uint64(k + 1) * _ODD) & np.uint64(bits - 1)).astype(np.int64)
+
+    def rows(self, df: DataFrame, column: str) -> DataFrame:
+        """The rows of df whose hash may be held, all columns."""
+        sent, bits = self.sent, self.bits
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            line = sent.value
+            for batch in batches:
+                held = np.ones(batch.num_rows, bool)
+                for at in Bloom.places(batch.column(batch.schema.get_field_index(column)).to_numpy(), bits):
+                    held &= line[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+                if held.any():
+                    yield batch.filter(pa.array(held))
+
+        return mapped(df, run, df.schema)

@@ -9,7 +9,8 @@ Documents are sets of shingles of five words. Documents with equal sets form a c
    row. A pair is taken in the first band that it shares. Its values are compared sixteen at a time, and it is
    dropped as soon as the posterior probability (uniform prior) that its similarity reaches the threshold
    falls below `tolerance`.
-3. Cells with surviving pairs get the full shingle sets of the documents in these pairs, and only those. Each
+3. Cells with surviving pairs get the full shingle sets of the documents in these pairs, and only those: a Bloom
+   filter keeps other texts out of the shuffle, and a text is named by id and hash, so ids may be null or shared. Each
    surviving pair is verified by exact intersection of the sets (of 64-bit shingle hashes).
 4. A cell returns, for each document, its number of links and the smallest document it is connected with.
    These few rows are summed, and connected over the cells by alternating star contraction.
@@ -280,6 +281,14 @@ def components(edges: DataFrame) -> DataFrame:
         edges = flat.saved(star.distinct().join(up, "p", "left").select("v", F.coalesce("q", "p").alias("p")).distinct())
 
 
+PLACE = ["_none_", "_id_", "_mark_"]
+
+
+def _place(key: Column, mark: Column) -> tuple[Column, ...]:
+    """What tells a text of an id from others, for joins by plain equality: null ids too."""
+    return key.isNull().alias("_none_"), F.coalesce(key.cast("string"), F.lit("")).alias("_id_"), mark.alias("_mark_")
+
+
 def join(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE,
     chunk_members: int = CHUNK_MEMBERS,
@@ -289,7 +298,8 @@ def join(
     signed = flat.saved(_signed(docs, "text"))
     classes = flat.saved(
         signed.groupBy("key").agg(
-            F.min("id").alias("copy_id"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("signature").alias("signature"),
+            F.min("id").alias("copy_id"), F.min(F.struct("id", "mark")).alias("first"), F.count("*").alias("n_copies"),
+            F.first("n").alias("n"), F.first("signature").alias("signature"),
         ).withColumn("cid", F.monotonically_increasing_id())
     )
     bands = classes.where("n > 0").select(
@@ -313,12 +323,16 @@ def join(
     survivors = flat.saved(flat.mapped(
         cells, _survivors(least_matches(threshold, tolerance)), "cell bigint, cids array<bigint>, left array<int>, right array<int>"
     ))
-    wanted = (
+    wanted = flat.saved(
         survivors.select("cell", F.explode("cids").alias("cid")).groupBy("cid").agg(F.collect_list("cell").alias("cells"))
-        .join(classes.select("cid", "key", F.col("copy_id").alias("id")), "cid")
+        .join(classes.select("cid", "key", "first"), "cid")
+        .select("cid", "key", "cells", *_place(F.col("first.id"), F.col("first.mark")))
+    )
+    # Only texts that may be wanted are shuffled: one row of each id and text, and each meets the one row that wants it.
+    held = flat.Bloom(wanted.select(F.xxhash64(*PLACE))).rows(
+        docs.select(*_place(F.col("id"), F.col("mark")), F.col("text").alias("t")).withColumn("_hash_", F.xxhash64(*PLACE)), "_hash_"
     )
-    texts = docs.alias("d").join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")))
-    texts = texts.select("w.cid", "w.key", "w.cells", F.col("d.text").alias("t"))
+    texts = held.dropDuplicates(PLACE).join(wanted, PLACE).select("cid", "key", "cells", "t")
     sets = flat.mapped(texts, _cell_sets, "cell bigint, cid bigint, shingles binary")
     nothing = {name: F.lit(None).cast(kind) for name, kind in (("cids", "array<bigint>"), ("left", "array<int>"), ("right", "array<int>"))}
     gathered = sets.withColumns(nothing).unionByName(survivors, allowMissingColumns=True)
@@ -344,13 +358,6 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", thr
     found = join(docs, key=key, text=text, threshold=threshold)
     kept = found.groupBy("group").agg(F.min(F.struct(F.col(key).isNull().alias("none"), key, "mark")).alias("first"))
     # Plain equality on what stands for the id: join and dropDuplicates then share one exchange of the texts.
-    place = ["_none_", "_id_", "_mark_"]
-    kept = kept.select(
-        F.col("first.none").alias("_none_"), F.coalesce(F.col(f"first.{key}").cast("string"), F.lit("")).alias("_id_"),
-        F.col("first.mark").alias("_mark_"),
-    ).distinct()
-    mark: Column = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.withColumns({
-        "_none_": F.col(key).isNull(), "_id_": F.coalesce(F.col(key).cast("string"), F.lit("")), "_mark_": mark,
-    })
-    return rows.join(kept, place, "left_semi").dropDuplicates(place).drop(*place)
+    kept = kept.select(*_place(F.col(f"first.{key}"), F.col("first.mark"))).distinct()
+    rows = docs.select("*", *_place(F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
+    return rows.join(kept, PLACE, "left_semi").dropDuplicates(PLACE).drop(*PLACE)

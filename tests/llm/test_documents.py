@@ -314,3 +314,35 @@ def test_no_letters_no_labels(spark, documents):
     assert got[4].lang == "en" and not got[4].rejected
     assert language_id.fit(documents.limit(0)) == []
     assert {r.language.lang for r in language_id.identify(odd, []).collect()} == {"und"}
+
+
+def test_dealt_and_sent_boilerplate_agree(spark, documents, rows):
+    columns = ("doc_id", "text", "n_lines", "n_dropped")
+    options = {"min_pages": 2, "ratio": 0.1}
+    found = [counted(map(tuple, line_dedup.drop_boilerplate(documents, sent_lines=n, **options).select(*columns).collect())) for n in (-1, 10**6)]
+    assert found[0] == found[1] and len(documents.columns) + 2 == len(line_dedup.drop_boilerplate(documents, **options).columns)
+    # one hot host of equal rows, null hosts and texts, clashing columns, nothing at all
+    made = [(1, "a\nb", "hot", 5, "x")] * 300 + [(k, f"a\nline {k}", None, 5, "x") for k in range(20)] + [(7, None, "hot", 5, "x"), (8, "", "other", 5, "x")]
+    docs = spark.createDataFrame(made, "doc_id int, text string, source string, parts int, of string")
+    cut = [sorted(map(tuple, line_dedup.drop_boilerplate(docs, sent_lines=n).collect()), key=str) for n in (-1, 10**6)]
+    assert cut[0] == cut[1] == sorted([
+        *((1, "a\nb", "hot", 5, "x", 2, 0) for _ in range(300)), *((k, f"line {k}", None, 5, "x", 2, 1) for k in range(20)),
+        (7, None, "hot", 5, "x", 0, 0), (8, "", "other", 5, "x", 1, 0),
+    ], key=str)
+    assert line_dedup.drop_boilerplate(docs.limit(0)).collect() == []
+
+
+def test_bloom_filter_denies_nothing(spark):
+    wanted = spark.range(0, 3000, 3).select(F.xxhash64("id").alias("h"))
+    rows = spark.range(0, 3000).select("id", F.xxhash64("id").alias("h"))
+    left = {r.id for r in flat.Bloom(wanted).rows(rows, "h").collect()}
+    assert set(range(0, 3000, 3)) <= left and len(left) < 1100
+    assert flat.Bloom(wanted.limit(0)).rows(rows, "h").count() == 0
+
+
+def test_documents_that_share_a_null_id(spark):
+    texts = [" ".join(f"w{k * 7 + i}" for i in range(40)) for k in range(40)]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(None, t + " end") for t in texts[:20]] * 2, "doc_id bigint, text string")
+    found = jaccard_join.join(docs).collect()
+    assert counted((r.n_links, r.n_copies) for r in found) == counted([(1, 1)] * 20 + [(1, 2)] * 40 + [(0, 1)] * 20)
+    assert jaccard_join.one_of_each(docs).count() == 40

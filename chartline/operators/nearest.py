@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartline.functions.times import MICROS, add_micros, micros_between, time_bin
@@ -28,57 +28,47 @@ def _nearest_wide(
         time_bin(F.col("event_time"), chunk_seconds).alias("_chunk"),
     ).where(F.col("_chunk").isNotNull())  # never null; said here, all uses below have one plan and share its shuffle
     points = known(readings, layout).select(
-        key, F.col(layout.time).alias("_at"), F.lit(0).alias("_probe"), *signals,
-        time_bin(F.col(layout.time), chunk_seconds).alias("_chunk"),
+        key, F.col(layout.time).alias("_at"), *signals, time_bin(F.col(layout.time), chunk_seconds).alias("_chunk"),
+    ).where(F.col("_chunk").isNotNull())
+    # Readings are scanned once. In a chunk without events they end as one row before the shuffle, the row of no time:
+    # the first and last value of each signal, and when. Elsewhere each time keeps a row.
+    marked = points.join(probes.select(*chunk, F.lit(1).alias("_asked")).distinct(), chunk, "left")
+    times = ", ".join(
+        f"min(CASE WHEN `{s}` IS NOT NULL THEN _at END) AS `_first_at_{s}`, min_by(`{s}`, CASE WHEN `{s}` IS NOT NULL THEN _at END) AS `_first_{s}`, "
+        f"max(CASE WHEN `{s}` IS NOT NULL THEN _at END) AS `_last_at_{s}`, max_by(`{s}`, CASE WHEN `{s}` IS NOT NULL THEN _at END) AS `_last_{s}`"
+        for s in signals
     )
-
-    def seen(s: str):
-        return F.when(F.col(s).isNotNull(), F.col("_at"))
-
-    # Summary per chunk, then what enters an event's chunk from either side.
-    summaries = (
-        points.unionByName(probes, allowMissingColumns=True)
-        .groupBy(*chunk)
-        .agg(
-            F.max("_probe").alias("_probe"),
-            *(F.max(seen(s)).alias(f"_last_at_{s}") for s in signals),
-            *(F.max_by(s, seen(s)).alias(f"_last_{s}") for s in signals),
-            *(F.min(seen(s)).alias(f"_first_at_{s}") for s in signals),
-            *(F.min_by(s, seen(s)).alias(f"_first_{s}") for s in signals),
+    kept = points.sparkSession.sql(f"""
+        SELECT `{key}`, _chunk, _point AS _at, 0 AS _probe, {times}
+        FROM (SELECT *, CASE WHEN _asked = 1 THEN _at END AS _point FROM {{marked}}) GROUP BY `{key}`, _chunk, _point
+    """, marked=marked)
+    line = kept.unionByName(probes, allowMissingColumns=True).repartition(*chunk)
+
+    # What enters an event's chunk from either side, from one row per chunk.
+    ends = [
+        text for s in signals for text in (
+            f"min(`_first_at_{s}`) AS `_first_at_{s}`", f"min_by(`_first_{s}`, `_first_at_{s}`) AS `_first_{s}`",
+            f"max(`_last_at_{s}`) AS `_last_at_{s}`", f"max_by(`_last_{s}`, `_last_at_{s}`) AS `_last_{s}`",
         )
-    )
-    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(key).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-
-    def carried(name: str, window):
-        return F.last(name, ignorenulls=True).over(window)
-
-    entering = summaries.select(
-        *chunk,
-        "_probe",
-        *(carried(f"_last_at_{s}", earlier).alias(f"_before_at_{s}") for s in signals),
-        *(carried(f"_last_{s}", earlier).alias(f"_before_{s}") for s in signals),
-        *(carried(f"_first_at_{s}", later).alias(f"_after_at_{s}") for s in signals),
-        *(carried(f"_first_{s}", later).alias(f"_after_{s}") for s in signals),
-    ).where(F.col("_probe") == 1).drop("_probe")
-
-    # Only chunks with events are ordered row by row.
-    line = points.join(probes.select(*chunk), chunk, "left_semi").unionByName(probes, allowMissingColumns=True)
-    back = Window.partitionBy(*chunk).orderBy(F.asc("_at"), "_probe").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    ahead = Window.partitionBy(*chunk).orderBy(F.desc("_at"), "_probe").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    local = line.select(
-        *chunk,
-        "_at",
-        "_probe",
-        *(F.last(seen(s), ignorenulls=True).over(back).alias(f"_back_at_{s}") for s in signals),
-        *(F.last(s, ignorenulls=True).over(back).alias(f"_back_{s}") for s in signals),
-        *(F.last(seen(s), ignorenulls=True).over(ahead).alias(f"_ahead_at_{s}") for s in signals),
-        *(F.last(s, ignorenulls=True).over(ahead).alias(f"_ahead_{s}") for s in signals),
-    ).where(F.col("_probe") == 1)
+    ]
+    earlier = f"PARTITION BY `{key}` ORDER BY _chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    later = f"PARTITION BY `{key}` ORDER BY _chunk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    # Only chunks with events have rows to put in order. There a row has one time, and its first value is its last.
+    # Both uses of the line name the same columns, so that they share its exchange.
+    back = f"PARTITION BY `{key}`, _chunk ORDER BY _at, _probe ROWS UNBOUNDED PRECEDING"
+    ahead = f"PARTITION BY `{key}`, _chunk ORDER BY _at DESC, _probe ROWS UNBOUNDED PRECEDING"
+    carried, near = [], []
+    for s in signals:
+        for name, source, window, out in (
+            (f"_last_at_{s}", carried, earlier, f"_before_at_{s}"), (f"_last_{s}", carried, earlier, f"_before_{s}"),
+            (f"_first_at_{s}", carried, later, f"_after_at_{s}"), (f"_first_{s}", carried, later, f"_after_{s}"),
+            (f"_last_at_{s}", near, back, f"_back_at_{s}"), (f"_last_{s}", near, back, f"_back_{s}"),
+            (f"_first_at_{s}", near, ahead, f"_ahead_at_{s}"), (f"_first_{s}", near, ahead, f"_ahead_{s}"),
+        ):
+            source.append(f"last(`{name}`, true) OVER ({window}) AS `{out}`")
+    ended = line.groupBy(*chunk).agg(F.expr("max(CASE WHEN _at IS NOT NULL THEN _probe END) AS _asked"), *map(F.expr, ends))
+    entering = ended.selectExpr(f"`{key}`", "_chunk", "_asked", *carried).where("_asked = 1").drop("_asked")
+    local = line.selectExpr(f"`{key}`", "_chunk", "_at", "_probe", *near).where("_probe = 1").join(entering, chunk)
 
     columns = []
     for s in signals:
@@ -99,7 +89,7 @@ def _nearest_wide(
                 ),
             ).alias(s)
         )
-    return local.join(entering, chunk).select(key, F.col("_at").alias("event_time"), *columns)
+    return local.select(key, F.col("_at").alias("event_time"), *columns)
 
 
 def nearest_reading(
@@ -108,13 +98,19 @@ def nearest_reading(
     signals=None,
     layout: Layout = PATIENTS,
     chunk_seconds: int = 3600,
+    order_by: str | None = None,
 ) -> DataFrame:
     """Nearest non-null reading of each signal to each event moment, at any distance.
 
     At equal distance the earlier reading is taken. A signal the entity never has gives nulls. The
-    readings may be raw or resampled rows, one per entity and time.
+    readings may be raw or resampled rows, one per entity and time; where several rows share both, ``order_by`` names
+    the column by which the first value of a signal wins.
     """
     signals = layout.present(readings, signals)
+    if order_by is not None:
+        readings = known(readings, layout).groupBy(layout.entity, layout.time).agg(
+            *(F.min_by(s, F.when(F.col(s).isNotNull(), F.col(order_by))).alias(s) for s in signals)
+        )
     wide = _nearest_wide(readings, events, signals, layout, chunk_seconds)
     entries = F.array(*(F.struct(F.lit(s).alias("signal"), F.col(s).alias("near")) for s in signals))
     return wide.select(layout.entity, "event_time", F.explode(entries).alias("_e")).select(

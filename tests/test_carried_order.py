@@ -1,6 +1,7 @@
 """Feeds through one exchange, files of bounded size, rows that carry their order, uploads of unlike headers."""
 
 import datetime as dt
+import random
 import re
 from pathlib import Path
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chartline.functions import text
 from chartline.layout import Layout
-from chartline.operators import bins, combine, density, profile, summaries
+from chartline.operators import bins, combine, density, nearest, profile, summaries
 from chartline.operators.quantiles import group_quantiles
 from chartline.plans import event_queries as eq
 from chartline.plans.timeline import patient_timeline
@@ -199,3 +200,31 @@ def test_no_event_is_on_the_axis_of_another(spark, events_at):
     axis = spark.createDataFrame([("q",)], "patient_id string")
     found = density.event_density(events_at("10:00:00"), "day", at("2024-01-02 00:00:00"), at("2024-01-02 23:00:00"), axis, Layout())
     assert rows(found, "patient_id", "count") == [("q", 0)]
+
+
+def test_nearest_scans_readings_once(spark):
+    plan = plan_of(eq.QUERIES["nearest_reading"](spark, SF), "final")
+    assert plan.count("FileScan") <= 3 and len(re.findall(r"FileScan parquet \[ts#\d+,user_id#\d+L,event_type#\d+,value#\d+\]", plan)) == 1
+
+
+def test_first_value_wins_at_equal_times(spark, events_at):
+    data = spark.createDataFrame(
+        [("p", at("10:00:00"), 5.0, 3), ("p", at("10:00:00"), 6.0, 2), ("p", at("10:00:00"), None, 1), ("p", at("09:00:00"), 1.0, 9)],
+        "patient_id string, timestamp timestamp_ntz, hr double, row int",
+    )
+    for seconds in (60, 3600, 86_400):
+        near = nearest.nearest_reading(data, events_at("10:10:00", "23:00:00"), layout=ONE, order_by="row", chunk_seconds=seconds)
+        assert rows(near, "value", "distance_seconds") == [(6.0, 46_800.0), (6.0, 600.0)]
+
+
+@pytest.mark.parametrize("seconds", [60, 900, 7200])
+def test_nearest_as_by_brute_force(spark, hr, events_at, seconds):
+    draw = random.Random(seconds)
+    start = at("2024-01-01 00:00:00")
+    moments = sorted({start + dt.timedelta(seconds=draw.randrange(200_000)) for _ in range(150)})
+    values = [(t, None if draw.random() < 0.3 else float(k)) for k, t in enumerate(moments)]
+    asked = [start + dt.timedelta(seconds=draw.randrange(-5000, 210_000)) for _ in range(80)]
+    data = spark.createDataFrame([("p", t, v) for t, v in values], "patient_id string, timestamp timestamp_ntz, hr double")
+    near = nearest.nearest_reading(data, spark.createDataFrame([("p", t) for t in asked], "patient_id string, seizure_time timestamp_ntz"), layout=ONE, chunk_seconds=seconds)
+    want = {t: min(((abs((t - u).total_seconds()), u, v) for u, v in values if v is not None))[1:] for t in asked}
+    assert {r.event_time: (r.nearest_time, r.value) for r in near.collect()} == want

@@ -1,14 +1,15 @@
 """Language identification by compression: the language whose dictionary makes the text smallest.
 
 For each language a raw-content zstandard dictionary is filled with text of a bounded sample of labelled
-rows. A text is put in plain form (lower case, letters and single spaces), cut into chunks, and every chunk
-is compressed with each dictionary; the sums decide, so that a long text does not outgrow the dictionaries.
-Texts of a few words have few matches to count, so they are also compressed in overlapping word triples.
-The score is the margin between the two smallest sums as a share of the second; a text is rejected when the
+rows. A text is put in plain form (lower case, letters and single spaces), cut into windows that overlap by half,
+and every window is compressed with each dictionary; the sums decide, so that a long text does not outgrow the
+dictionaries, and texts of all lengths are treated alike. The score is the margin between the two smallest sums as a share of the second; a text is rejected when the
 margin is below `min_margin`. Equal sums go to the language with more labelled rows, then by name.
 
-Fitting reads ids and labels of all rows, but texts of at most `per_language` rows of each language: those
-with the smallest hash of their id (and of their text, should ids repeat). Prediction reads whole texts
+Fitting reads ids and labels of all rows, but texts of at most `per_language` rows of each of the `most_languages`
+labels with the most rows (then by name): those with the smallest hash of their id (and of their text, should ids
+repeat). All of these rows fill the dictionary of their language alike, each with EXCERPTS stretches of equal length
+spread from its beginning to its end, or whole if it is shorter. Prediction reads whole texts
 where they lie; nothing is shuffled. Null text, and text without a letter, is `und` with score 0 and is
 rejected. Rows with a null label or null text are not learned from. If nothing is labelled all is `und`.
 Equal texts get equal results.
@@ -28,10 +29,10 @@ from pyspark.sql import types as T
 from chartline.llm.flat import mapped
 
 PER_LANGUAGE = 96
-PER_DOCUMENT = 2000
+MOST_LANGUAGES = 256
 DICTIONARY_BYTES = 1 << 16
-CHUNK = 1024
-SHORT = 256
+EXCERPTS = 4
+WINDOW = 512
 LEVEL = 6
 MIN_MARGIN = 0.002
 
@@ -47,26 +48,35 @@ def plain(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_PLAIN).split())
 
 
-def fit(labelled: DataFrame, *, text: str = "text", label: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> list[tuple[str, bytes]]:
+def fit(
+    labelled: DataFrame, *, text: str = "text", label: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE,
+    most_languages: int = MOST_LANGUAGES,
+) -> list[tuple[str, bytes]]:
     """(language, dictionary) pairs, by number of labelled rows.
 
-    The driver receives at most per_language rows of each language, PER_DOCUMENT characters of each.
+    The driver receives about DICTIONARY_BYTES characters of each of at most most_languages labels.
     """
     rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
     place = F.xxhash64(F.col(key).cast("string")), F.xxhash64(F.col(text))
-    ids = rows.select(F.col(label).alias("l"), place[0].alias("a"), place[1].alias("b"))
+    counted = rows.groupBy(F.col(label).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most_languages).collect()
+    names = [r["l"] for r in counted]
+    known = rows.where(F.col(label).isin(names))
+    ids = known.select(F.col(label).alias("l"), place[0].alias("a"), place[1].alias("b"))
     first = Window.partitionBy("l").orderBy("a", "b")
     chosen = ids.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).drop("k").distinct()
-    counts = {r["l"]: r["n"] for r in ids.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    share = DICTIONARY_BYTES // per_language // EXCERPTS
+    length = F.char_length(text)
+    spread = F.concat_ws(" ", *(
+        F.substr(text, F.floor((length - share) * k / (EXCERPTS - 1)).cast("int") + 1, F.lit(share)) for k in range(EXCERPTS)
+    ))
     sample = (
-        rows.select(F.col(label).alias("l"), place[0].alias("a"), place[1].alias("b"), F.substring(text, 1, PER_DOCUMENT).alias("t"))
+        known.select(F.col(label).alias("l"), place[0].alias("a"), place[1].alias("b"), F.when(length <= share * EXCERPTS, F.col(text)).otherwise(spread).alias("t"))
         .join(F.broadcast(chosen), ["l", "a", "b"]).dropDuplicates(["l", "a", "b"]).select("l", "a", "b", "t").collect()
     )
-    languages = sorted(counts, key=lambda name: (-counts[name], name))
-    found: dict[str, list[bytes]] = {name: [] for name in languages}
+    found: dict[str, list[bytes]] = {name: [] for name in names}
     for row in sorted(sample, key=lambda r: (r["a"], r["b"])):
         found[row["l"]].append(plain(row["t"]))
-    return [(name, b" ".join(found[name])[:DICTIONARY_BYTES]) for name in languages if any(found[name])]
+    return [(name, b" ".join(found[name])) for name in names if any(found[name])]
 
 
 @lru_cache(maxsize=4)
@@ -86,10 +96,7 @@ def classify(text: str | None, dictionaries: tuple[tuple[str, bytes], ...], min_
     if text is None or not dictionaries or not any(map(str.isalpha, text)):
         return "und", 0.0, True
     raw = plain(text)
-    parts = [raw[k : k + CHUNK] for k in range(0, len(raw), CHUNK)] or [b""]
-    if len(raw) < SHORT:
-        some = raw.split()
-        parts += [b" ".join(some[k : k + 3]) for k in range(max(1, len(some) - 2))]
+    parts = [raw[k : k + WINDOW] for k in range(0, max(1, len(raw) - WINDOW // 2), WINDOW // 2)]
     sums = np.array([sum(len(c.compress(part)) for part in parts) for c in _compressors(dictionaries)])
     order = np.argsort(sums, kind="stable")
     if len(order) == 1:

@@ -8,8 +8,9 @@ are searched backwards at once. Their occurrences are located by stepping to a s
 words they cover are merged into spans to remove. Words are told apart by 64-bit hash; every word of the
 runs is then compared byte by byte, so the result is exact.
 
-Nothing is shuffled. The phrases go to the tasks by broadcast, in blocks of at most BLOCK_WORDS words of
-test items, one pass over the rows for each block, so that what a task holds is bounded for any benchmark.
+Nothing is shuffled. The phrases are kept in blocks of at most BLOCK_WORDS words of test items, files that all
+executors share. A batch of rows meets the blocks one after another, in one pass of one worker that holds a single
+block at a time, so what a task holds is bounded for any benchmark, and so is what the driver holds while it makes them.
 
 Null or empty text has no words and is clean. Equal rows get equal results. Items without words match
 nothing; an item id that is null cannot be named, so its phrases count as hits only.
@@ -17,7 +18,11 @@ nothing; an item id that is null cannot be named, so its phrases count as hits o
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -279,48 +284,69 @@ def find_leaks(
         F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
         F.array().cast("array<string>").alias("items"), F.array().cast(RESULT["spans"].dataType).alias("spans"),
     )
-    result = docs.withColumn(out, empty.cast(RESULT))
     schema = T.StructType([*docs.schema.fields, T.StructField(out, RESULT)])
-    blocks = list(_shared(spark, _blocks(benchmark, item_id, item_text, window, block_words)))
-    if not blocks:
-        blocks = [spark.sparkContext.broadcast(Phrases([], [], window))]
-    for phrases in blocks:
-        result = flat.mapped(result, _search(phrases, text, out), schema)
-    return result
+    folder, names = _kept(spark, _blocks(benchmark, item_id, item_text, window, block_words), window)
+    return flat.mapped(docs.withColumn(out, empty.cast(RESULT)), _search(folder, names, text, out), schema)
 
 
-def _shared(spark, blocks: Iterator[Phrases]) -> Iterator:
-    for phrases in blocks:
-        yield spark.sparkContext.broadcast(phrases)
+def _kept(spark, blocks: Iterator[Phrases], window: int) -> tuple[str, list[str]]:
+    """The blocks as files of a new folder that all executors share; there is always one."""
+    flat.durable(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/phrases-{uuid.uuid4()}"
+    system, root = flat.opened(folder)
+    system.create_dir(root, recursive=True)
+    names: list[str] = []
+    for phrases in chain(blocks, [None]):
+        if phrases is None and names:
+            break
+        names.append(f"{len(names):06d}")
+        with system.open_output_stream(f"{root}/{names[-1]}") as file:
+            file.write(pickle.dumps(phrases or Phrases([], [], window)))
+    return folder, names
 
 
-def _search(phrases, text: str, out: str):
+@lru_cache(maxsize=1)
+def _block(folder: str, name: str) -> Phrases:
+    system, root = flat.opened(folder)
+    with system.open_input_file(f"{root}/{name}") as file:
+        return pickle.loads(file.read())
+
+
+def _search(folder: str, names: list[str], text: str, out: str):
+    """Each batch meets the blocks one after another; a worker holds one of them at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat.column_bytes(batch.column(batch.schema.get_field_index(text)))
             at = batch.schema.get_field_index(out)
-            old = batch.column(at).to_pylist()
-            new = []
-            for a, b in flat.slices(offsets):
-                part = _shard(phrases.value, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                for was, (n_words, n_hit, items, spans) in zip(old[a:b], part, strict=True):
-                    if was["n_hit"] and spans:
-                        before = [(s["start"], s["end"]) for s in was["spans"]]
-                        spans = merged(before + spans)
-                        n_hit = _words_in(data[offsets[len(new)] : offsets[len(new) + 1]], spans)
-                    elif was["n_hit"]:
-                        spans, n_hit = [(s["start"], s["end"]) for s in was["spans"]], was["n_hit"]
-                    new.append({
-                        "n_words": n_words, "n_hit": n_hit, "items": sorted(items.union(was["items"])),
-                        "spans": [{"start": s, "end": e} for s, e in spans],
-                    })
+            found = batch.column(at).to_pylist()
+            for name in names:
+                found = _with_block(_block(folder, name), data, offsets, found)
             columns = [*batch.columns]
-            columns[at] = pa.array(new, _RESULT)
+            columns[at] = pa.array(found, _RESULT)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return run
 
 
+def _with_block(phrases: Phrases, data: np.ndarray, offsets: np.ndarray, old: list[dict]) -> list[dict]:
+    """What was found in each row, and what this block finds."""
+    new: list[dict] = []
+    for a, b in flat.slices(offsets):
+        part = _shard(phrases, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        for was, (n_words, n_hit, items, spans) in zip(old[a:b], part, strict=True):
+            if was["n_hit"] and spans:
+                spans = merged([(s["start"], s["end"]) for s in was["spans"]] + spans)
+                n_hit = _words_in(data[offsets[len(new)] : offsets[len(new) + 1]], spans)
+            elif was["n_hit"]:
+                spans, n_hit = [(s["start"], s["end"]) for s in was["spans"]], was["n_hit"]
+            new.append({
+                "n_words": n_words, "n_hit": n_hit, "items": sorted(items.union(was["items"])),
+                "spans": [{"start": s, "end": e} for s, e in spans],
+            })
+    return new
+
+
 def _words_in(data: np.ndarray, spans: list[tuple[int, int]]) -> int:
     """How many words of a text stand inside spans of code points."""
     _, starts, _, _ = flat.words(data, np.array([0, len(data)]))

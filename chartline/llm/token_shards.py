@@ -37,7 +37,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,13 +172,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def opened(folder: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system and the path in it of a folder named by a path or URI."""
-    if folder.startswith("file:"):
-        return pa.fs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
-    return pa.fs.FileSystem.from_uri(folder)
-
-
 @dataclass(frozen=True)
 class Store:
     """A written store: its folder, the files in order with the documents and ids before each, and its two tables."""
@@ -199,7 +191,7 @@ def _written(path: str, folder: str, width: int, end_id: int, file_ids: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part = encoder(path), TaskContext.get().partitionId()
-        system, root = opened(folder)
+        system, root = flat.opened(folder)
         number, name, stream, begins = 0, "", None, [0]
 
         def close() -> None:
@@ -301,7 +293,7 @@ def _segments(folder: str):
     """(bucket, h1, h2, first, copies) by bucket to (bucket, file, position, size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = opened(folder)
+        system, root = flat.opened(folder)
         name, stream, at = f"{uuid.uuid4().hex}.index", None, 0
         for table in flat.whole_groups(batches, "bucket"):
             bucket, h1, h2, first, copies = (table.column(c).to_numpy() for c in ("bucket", "h1", "h2", "first", "copies"))
@@ -334,7 +326,7 @@ def write(
     spark = docs.sparkSession
     flat.durable(spark)
     folder = f"{folder or spark.sparkContext.getCheckpointDir()}/shards-{uuid.uuid4()}"
-    system, root = opened(folder)
+    system, root = flat.opened(folder)
     system.create_dir(root, recursive=True)
     width = 2 if max(encoder(path).most, end_id) < 1 << 16 else 4
 
@@ -382,7 +374,7 @@ def lookup(store: Store, keys: DataFrame, key: str = "doc_id") -> DataFrame:
     folder = store.folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = opened(folder)
+        system, root = flat.opened(folder)
         held, segment = -1, b""
         for batch in batches:
             bucket, h1, h2 = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("bucket", "h1", "h2"))
@@ -422,7 +414,7 @@ def read(store: Store, keys: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, docs_before, ids_before = table.value
-        system, root = opened(folder)
+        system, root = flat.opened(folder)
         for batch in batches:
             doc = batch.column(1).to_numpy()
             order = np.argsort(doc, kind="stable")

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from chartline.llm import chunks, queries, token_alignment, token_shards, word_runs
+from chartline.llm import chunks, flat, queries, token_alignment, token_shards, word_runs
 
 from .conftest import SF
 
@@ -274,7 +274,7 @@ def test_store_of_awkward_rows(spark):
     assert len(store.files) > 8 and store.buckets > 8
     assert stored(store, docs) == plain_store(rows)
     # the raw files hold the ids and nothing else
-    system, root = token_shards.opened(store.folder)
+    system, root = flat.opened(store.folder)
     size = sum(system.get_file_info(f"{root}/{name}.ids").size for name in store.files)
     assert size == store.width * int(store.ids_before[-1]) and store.width == 2
     some = spark.createDataFrame([(3,), (3,), (-5,), (10**12,), (None,), (40,)], "doc_id bigint")

@@ -40,6 +40,8 @@ ADDED = (
     ("url", r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]++:([^\s:/@]{6,}+)@", 1, 6),
 )
 KINDS = BASE + ADDED
+# Spans gathered before they become a block.
+BLOCK = 128
 _SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
 
 
@@ -50,17 +52,24 @@ def _matches(text: Column, number: int) -> Column:
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("found"))
+    # Appending copies an array, so spans are gathered in blocks, and blocks in an array of blocks: nearly linear in the hits.
+    none, no_block = F.array().cast(f"array<{_SPAN}>"), F.array().cast(f"array<array<{_SPAN}>>")
+    start = F.struct(F.lit(0).cast("long").alias("at"), no_block.alias("full"), none.alias("found"))
 
     def step(done: Column, part: Column) -> Column:
         first = done["at"] + F.char_length(part["gap"])
         until = first + F.coalesce(F.char_length(part["hit"]), F.lit(0))
         span = F.struct(first.alias("start"), F.lit(number).alias("kind"), until.alias("end"), F.sha2(part["value"], 256).alias("value"))
         good = part["hit"].isNotNull() & (F.char_length(part["value"]) >= least)
-        return F.struct(until.alias("at"), F.when(good, F.array_append(done["found"], span)).otherwise(done["found"]).alias("found"))
-
-    spans = F.aggregate(zipped, start, step, lambda done: done["found"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
+        filled = F.size(done["found"]) >= BLOCK
+        found = F.when(filled, none).otherwise(done["found"])
+        return F.struct(
+            until.alias("at"), F.when(filled, F.array_append(done["full"], done["found"])).otherwise(done["full"]).alias("full"),
+            F.when(good, F.array_append(found, span)).otherwise(found).alias("found"),
+        )
+
+    spans = F.aggregate(zipped, start, step, lambda done: F.flatten(F.array_append(done["full"], done["found"])))
+    return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
 def candidates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id") -> DataFrame:

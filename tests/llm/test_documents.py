@@ -346,3 +346,38 @@ def test_documents_that_share_a_null_id(spark):
     found = jaccard_join.join(docs).collect()
     assert counted((r.n_links, r.n_copies) for r in found) == counted([(1, 1)] * 20 + [(1, 2)] * 40 + [(0, 1)] * 20)
     assert jaccard_join.one_of_each(docs).count() == 40
+
+
+def test_all_lengths_are_scored_alike():
+    fitted = (("en", b"the of and that with this from have"), ("de", b"der die das und nicht mit von haben"))
+    words = "the house of that man and this dog with the cat from there " * 20
+    for length in (254, 255, 256, 257, 511, 512, 513, 900):
+        text, raw = words[:length], language_id.plain(words[:length])
+        half = language_id.WINDOW // 2
+        parts = [raw[k : k + 2 * half] for k in range(0, max(1, len(raw) - half), half)]
+        assert b"".join(p[:half] for p in parts[:-1]) + parts[-1] == raw  # windows cover the whole text
+        sums = [sum(len(c.compress(p)) for p in parts) for c in language_id._compressors(fitted)]
+        lang, score, _ = language_id.classify(text, fitted, 0.0)
+        assert lang == "en" and score == (sums[1] - sums[0]) / sums[1]
+
+
+def test_dictionaries_hold_all_chosen_rows(spark):
+    long_text = " ".join(f"a{'bcdefghij'[k % 9]}{'klmnopqrs'[k // 9 % 9]}" for k in range(20_000)) + " zuletzt"
+    docs = spark.createDataFrame([(k, f"wort{chr(97 + k % 26)}{chr(97 + k // 26)}", "de") for k in range(90)] + [(1000, long_text, "de"), (1001, "one", "en")], "doc_id bigint, text string, lang string")
+    fitted = dict(language_id.fit(docs))
+    assert list(fitted) == ["de", "en"] and len(fitted["de"]) <= language_id.DICTIONARY_BYTES + 1000
+    assert b"zuletzt" in fitted["de"] and all(f"wort{chr(97 + k % 26)}{chr(97 + k // 26)}".encode() in fitted["de"] for k in range(90))
+    assert list(dict(language_id.fit(docs, most_languages=1))) == ["de"]
+
+
+def test_any_number_of_blocks_is_one_pass(spark, documents, rows):
+    items = spark.createDataFrame([(f"i{k}", f"alpha{k} beta gamma delta epsilon zeta eta theta iota kappa lambda") for k in range(9)], "item_id string, text string")
+    docs = documents.limit(20)
+    found = decontaminate.find_leaks(docs, items, block_words=1)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_many_hits_in_one_text(spark):
+    text = " ".join(f"token=abc{k:05d}" for k in range(1000))
+    spans = secret_scan.candidates(spark.createDataFrame([(1, text, "s")], "doc_id bigint, text string, source string")).first().spans
+    assert [(s.start, s.end) for s in spans] == [(15 * k, 15 * k + 14) for k in range(1000)]

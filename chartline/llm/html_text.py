@@ -1,22 +1,27 @@
 """Main text of web pages by removing what is common to a site.
 
-A page is read as a stream of tags with a stack of open elements. Elements that are never main text go by
-their kind (navigation, headers, footers, asides, forms, scripts, hidden parts) or by a word in their class,
-id or role (advert, cookie, comments ...). What is left, but for the plain paragraphs and headings of an
-<article> or <main>, is hashed by element subtree; Spark counts on how many pages of its host each subtree
-stands, and those on at least `ratio` of the pages, and at least `min_pages`, are the template of the site
-and are deleted. A page with an <article> (else <main>) gives the text inside it, others their whole body.
-
-Pages of a host whose blocks of text are equal count once, both for a subtree and in the pages of the host: many
-copies of one page make no template. Text in a paragraph, heading, list item or cell of an article is never
-template either, whatever stands around it: a site may hold an article on many unlike pages.
+A page is read as a stream of tags with a stack of open elements. Every element of the whole page, whatever its
+kind, is hashed as a subtree (its name, class, id, role and all text in it), but for the plain paragraphs, headings,
+list items and cells of an <article> or <main>. Spark counts on how many pages of its host each subtree stands,
+and those on at least `ratio` of the pages (smoothed by SMOOTH pages), and at least `min_pages`, are the
+template of the site and are deleted first. The share is low, since a site shows one of several menus, footers or
+adverts on a page. Of what is left, elements that are never main text go by their kind (navigation, headers,
+footers, asides, forms, hidden parts) or by a word in their class, id or role (advert, cookie, comments ...). A page
+with an <article> (else <main>) then gives the text inside it, others their whole body.
+
+Pages of a host whose blocks of text, but for those that go by kind or word, are equal count once, both for a subtree
+and in the pages of the host: many copies of one page make no template, whatever menus stand around them. Text in a
+paragraph, heading, list item or cell of an article is never template either, whatever stands around it: a site may hold
+an article on many unlike pages.
 
 At scale: rows of (host, subtree) are counted after a partial count on each task, so a large host is split
 by subtree. The templates of a host are at most (subtrees of a page / ratio) hashes, since each is on that
-share of its pages. They meet the pages by a join on the host and one of SALTS parts of it, chosen by url, so
-that a host with a third of all pages is dealt out too; the small counts are never broadcast by hand.
+share of its pages. They are written, and their size is known: up to SENT_TREES hashes they are sent to all tasks, so
+that no page is shuffled. Beyond that they meet the pages by a join on the host, in which the few hosts that hold more
+than one part in (shuffle partitions) of all pages are dealt out row by row, whatever their urls.
 
-Null or empty html gives the empty text. A null url, or one without a host, counts as the host ''.
+Null or empty html gives the empty text. A null url, or one without a host, counts as the host ''. Repeated rows and
+equal pages are treated alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,11 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartline.llm.flat import mapped, saved
+from chartline.llm.flat import mapped, saved, written
+from chartline.llm.line_dedup import _dealt, _sent
+from chartline.sizing import task_count
 
 MIN_PAGES = 8
-RATIO = 0.3
-SALTS = 64
+RATIO = 0.025
+SMOOTH = 10
+SENT_TREES = 500_000
 
 # HTML's element kinds.
 INLINE = frozenset(
@@ -107,14 +115,14 @@ class Element:
         )
 
 
-def parse(page: str) -> tuple[list[tuple[str, bool, bool, tuple[int, ...]]], list[int]]:
+def parse(page: str) -> tuple[list[tuple[str, bool, bool, bool, tuple[int, ...]]], list[int]]:
     """(blocks, hashes of the subtrees that may be template).
 
-    A block is (text, in an article, in main, indexes of the subtrees that it goes with). Inline elements leave no
+    A block is (text, in an article, in main, dropped by kind or word, indexes of the subtrees that it goes with). Inline elements leave no
     trace, so that a forgotten end tag of theirs does no harm.
     """
     stack = [Element("html", None, "")]
-    off: list[str] = []  # open tags inside a dropped element, which is the first
+    off: list[str] = []  # open tags inside a dropped inline element, which is the first
     buffer: list[str] = []
     blocks: list[tuple[str, Element, tuple[int, ...]]] = []
     subtrees: list[list[str]] = []
@@ -131,7 +139,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, tuple[int, ...]]], lis
                 around = tuple(k for k in trees if k >= 0)
                 for k in around:
                     subtrees[k].append(text)
-                blocks.append((text, stack[-1], () if stack[-1].prose else around))
+                blocks.append((text, stack[-1], () if stack[-1].prose and not stack[-1].dropped else around))
 
     def pop(to: int) -> None:
         flush()
@@ -205,11 +213,8 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, tuple[int, ...]]], lis
         if tag == "html":
             continue
         element = Element(tag, stack[-1], attributes)
-        if element.dropped:
-            off.append(tag)
-            continue
         stack.append(element)
-        if tag in _WHOLE or (tag in PROSE and (element.article or element.main)):
+        if (tag in _WHOLE or (tag in PROSE and (element.article or element.main))) and not element.dropped:
             trees.append(-1)
         else:
             trees.append(len(subtrees))
@@ -218,17 +223,18 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, tuple[int, ...]]], lis
         buffer.append(page[at:])
     flush()
     hashes = [xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63) for parts in subtrees]
-    return [(text, e.article, e.main, around) for text, e, around in blocks], hashes
+    return [(text, e.article, e.main, e.dropped, around) for text, e, around in blocks], hashes
 
 
 def main_text(page: str | None, template: set[int]) -> str:
-    """The blocks of the article (else of main, else of the body) outside template subtrees, one a line."""
+    """The blocks outside template subtrees that are not dropped, of the article (else of main, else of the body), one a line."""
     if not page:
         return ""
     blocks, hashes = parse(page)
     gone = {k for k, h in enumerate(hashes) if h in template}
-    chosen = [b for b in blocks if b[1]] or [b for b in blocks if b[2]] or blocks
-    return "\n".join(text for text, _, _, around in chosen if gone.isdisjoint(around))
+    kept = [b for b in blocks if not b[3]]
+    chosen = [b for b in kept if b[1]] or [b for b in kept if b[2]] or kept
+    return "\n".join(block[0] for block in chosen if gone.isdisjoint(block[4]))
 
 
 def host_of(url: str) -> Column:
@@ -245,7 +251,7 @@ def templates(pages: DataFrame, *, url: str = "url", html: str = "html", min_pag
             names, found = [], []
             for page in batch.column(1):
                 blocks, trees = parse(page.as_py()) if page.is_valid else ([], [])
-                names.append(xxhash.xxh64_intdigest("\x00".join(block[0] for block in blocks)) - (1 << 63))
+                names.append(xxhash.xxh64_intdigest("\x00".join(block[0] for block in blocks if not block[3])) - (1 << 63))
                 found.append(sorted(set(trees)))
             columns = [batch.column(0), pa.array(names, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["host", "page", "trees"])
@@ -256,31 +262,31 @@ def templates(pages: DataFrame, *, url: str = "url", html: str = "html", min_pag
     seen = trees.select("host", "page", F.explode(every).alias("tree")).distinct()
     counts = saved(seen.groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("tree").isNull() | (F.col("n") >= min_pages)))
     totals = counts.where(F.col("tree").isNull()).select("host", F.col("n").alias("pages"))
-    recurring = counts.where(F.col("tree").isNotNull()).join(totals, "host").where(F.col("n") >= ratio * F.col("pages"))
+    recurring = counts.where(F.col("tree").isNotNull()).join(totals, "host").where(F.col("n") >= ratio * (F.col("pages") + SMOOTH))
     return recurring.groupBy("host").agg(F.collect_list("tree").alias("template"))
 
 
-def extract(pages: DataFrame, *, url: str = "url", html: str = "html", out: str = "main_text", min_pages: int = MIN_PAGES, ratio: float = RATIO) -> DataFrame:
+def extract(pages: DataFrame, *, url: str = "url", html: str = "html", out: str = "main_text", min_pages: int = MIN_PAGES, ratio: float = RATIO, sent_trees: int = SENT_TREES) -> DataFrame:
     """All rows and the columns of pages without html, and the main text. A column named like `out` is replaced."""
-    found = templates(pages, url=url, html=html, min_pages=min_pages, ratio=ratio)
-    found = found.select(
-        F.col("host").alias("_host"), F.col("template").alias("_template"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt")
-    )
-    rows = pages.drop(out, "_host", "_template", "_salt")
-    salt = F.pmod(F.xxhash64(url), F.lit(SALTS))
-    joined = rows.join(found, (host_of(url) == F.col("_host")) & (salt == F.col("_salt")), "left").drop("_host", "_salt")
-    kept = [f for f in rows.schema.fields if f.name != html]
-    schema = T.StructType([*kept, T.StructField(out, T.StringType())])
+    pages = pages.drop(out)
+    found = written(templates(pages, url=url, html=html, min_pages=min_pages, ratio=ratio).withColumnRenamed("template", "lines"))
+    size = found.agg(F.coalesce(F.sum(F.size("lines") + 1), F.lit(0)).alias("n")).first().n
+    rows = pages.select(F.struct("*").alias("row"), host_of(url).alias("host"))
+    joined = _sent(rows, found) if size <= sent_trees else _dealt(rows, found, task_count(pages))
+    joined = joined.select(*(F.col(f"row.`{c}`").alias(f"c{k}") for k, c in enumerate(pages.columns)), F.col("gone").alias("template"))
+    at = pages.columns.index(html)
+    kept = [k for k in range(len(pages.columns)) if k != at]
+    schema = T.StructType([*(joined.schema[k] for k in kept), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
             sets: dict = {}
             texts = []
-            for page, hashes in zip(batch.column(names.index(html)), batch.column(names.index("_template")), strict=True):
+            for page, hashes in zip(batch.column(at), batch.column(len(kept) + 1), strict=True):
                 key = tuple(hashes.as_py() or ())
                 texts.append(main_text(page.as_py(), sets.setdefault(key, set(key))))
-            columns = [batch.column(names.index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*(f.name for f in kept), out])
+            columns = [batch.column(k) for k in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*(f"c{k}" for k in kept), "text"])
 
-    return mapped(joined, run, schema)
+    done = mapped(joined, run, schema)
+    return done.select(*(F.col(f"c{k}").alias(pages.columns[k]) for k in kept), F.col("text").alias(out))

@@ -1,5 +1,6 @@
 """Operators on pages and conversations, the pipeline, and the queries with SQL."""
 
+import re
 import hashlib
 from collections import defaultdict
 from pathlib import Path
@@ -300,3 +301,69 @@ def test_hash_of_the_extra_conversation(spark):
     said = "</s>[INST] ok [/INST]"
     assert row.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
     assert row.n_turns == 2 and row.loss_chars == len(said) and row.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+# --- site templates
+
+
+def counted_templates(pages):
+    """host to template hashes, counted in Python over all pages."""
+    on, names = {}, {}
+    for url, page in pages:
+        found = re.search(r"(?s)^.*?://([^/?#]*)", url or "")
+        host = found[1].lower() if found else ""
+        blocks, hashes = html_text.parse(page or "")
+        name = tuple(b[0] for b in blocks if not b[3])
+        names.setdefault(host, set()).add(name)
+        for tree in set(hashes):
+            on.setdefault((host, tree), set()).add(name)
+    out = {}
+    for (host, tree), seen in on.items():
+        if len(seen) >= html_text.MIN_PAGES and len(seen) >= html_text.RATIO * (len(names[host]) + html_text.SMOOTH):
+            out.setdefault(host, set()).add(tree)
+    return out
+
+
+def test_op6_as_by_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()
+    template = counted_templates([(r.url, r.html) for r in rows])
+    assert len(template) > 3
+    got = {r.page_id: r for r in QUERIES["op6_html_extraction"](spark, sf).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        host = r.url.split("://")[1].split("/")[0].lower()
+        text = html_text.main_text(r.html, template.get(host, set()))
+        assert (got[r.page_id].url, got[r.page_id].text, got[r.page_id].n_chars) == (r.url, text, len(text))
+
+
+@pytest.mark.parametrize("sent_trees", [-1, html_text.SENT_TREES])
+def test_menus_go_by_the_template_alone(spark, sent_trees):
+    """No known kind, word, article or main: 32 menus on 10 pages each of 320, and pages of another host."""
+    def page(k):
+        return f"<div class=q1><div>Shops {k % 32}</div><div>Maps {k % 32}</div></div><div class=q2><p>Story {k}</p><p>More of {k}</p></div>"
+
+    rows = [(k, "http://a.net/x", page(k)) for k in range(320)] + [(1000 + k, "http://b.net/", page(k)) for k in range(5)]
+    found = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"), sent_trees=sent_trees)
+    out = {r.page_id: r.main_text for r in found.collect()}
+    assert all(out[k] == f"Story {k}\nMore of {k}" for k in range(320))
+    assert all(out[1000 + k].startswith(f"Shops {k}\nMaps {k}\nStory") for k in range(5))
+
+
+def test_pages_in_odd_tables(spark):
+    rows = [(1, "http://a.net/", "<p>x</p>", 7, "r")] * 30 + [(2, None, None, 7, "r"), (3, "no host", "", 7, "r")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, host int, row string")
+    for sent_trees in (-1, html_text.SENT_TREES):
+        found = html_text.extract(pages, sent_trees=sent_trees)
+        assert found.columns == ["page_id", "url", "host", "row", "main_text"]
+        got = sorted(map(tuple, found.collect()), key=str)
+        assert got == sorted([(1, "http://a.net/", 7, "r", "x")] * 30 + [(2, None, 7, "r", ""), (3, "no host", 7, "r", "")], key=str)
+    assert html_text.extract(pages.limit(0)).collect() == []
+
+
+def test_dropped_elements_end_where_they_should():
+    for page, text in (
+        ("<nav><p>a<p>b</nav><p>c", "c"), ("<ul class=menu><li>a<li>b</ul><p>c", "c"), ("<form><select><option>a<option>b</select></form>c", "c"),
+        ("<head><title>t</title><body><p>c", "c"), ("<footer><div>a</footer><p>c", "c"), ("<article><aside><p>a</aside><p>c</article>", "c"),
+    ):
+        assert html_text.main_text(page, set()) == text

@@ -191,12 +191,14 @@ def tidy(run):
 def durable(spark: SparkSession) -> None:
     """checkpoint() needs a folder that all executors share; the cluster names it in spark.checkpoint.dir.
 
-    Only where that setting is absent, as in a test on one machine, a folder of its own is set.
+    Only where that setting is absent and the master is this machine, as in a test, a folder of its own is set.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
 
@@ -214,6 +216,12 @@ def opened(folder: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(folder)
 
 
+def forget(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of this package's own tables, in whatever file system it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared checkpoint folder: computed once, read by columns."""
     durable(df.sparkSession)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartline.llm import decontaminate, jaccard_join, language_id, line_dedup, piece_codec
-from chartline.llm.flat import durable
+from chartline.llm.flat import durable, forget
 from chartline.llm.queries import piece_model
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -72,11 +72,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is kept in the shared checkpoint folder and read again."""
+    """All stages over documents; each result is written to the shared checkpoint folder and read again, the last one stays."""
     durable(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
+        if number:  # what the stage read is not needed any more
+            forget(spark, f"{folder}/{number - 1}")
     return docs

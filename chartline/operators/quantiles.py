@@ -27,7 +27,8 @@ _PARTS = 4096
 # Coarse whole-number band of a double, never decreasing as the value grows; infinity included. The offset puts the
 # band of the smallest positive double above zero, and the cut stands above that of the largest.
 _SIZE = f"floor(least(log2(abs(_value)) * {_BANDS}, {1025.0 * _BANDS}D)) + {1100 * _BANDS}L"
-_BAND = f"CASE WHEN _value > 0 THEN {_SIZE} WHEN _value < 0 THEN -({_SIZE}) ELSE 0L END"
+# Never null, and said so: a filter that a join infers on one side only would keep both uses of the counts from sharing a shuffle.
+_BAND = f"coalesce(CASE WHEN _value > 0 THEN {_SIZE} WHEN _value < 0 THEN -({_SIZE}) END, 0L)"
 
 
 def group_quantiles(

@@ -36,6 +36,8 @@ BAND = {"p10": 0.1, "p90": 0.9}
 
 # Bins generated by one task step, and bins per forward-fill chunk.
 GRID_BLOCK = 4096
+# Bins whose rows are told by the bits of one whole number.
+WORD = 64
 
 
 def bin_grid(
@@ -65,6 +67,32 @@ def bin_grid(
     )
 
 
+def empty_bins(held: DataFrame, spans: DataFrame, key: str, out: str) -> DataFrame:
+    """The bins between the first and the last one of an entity that hold none of the rows ``held``.
+
+    ``held`` has the key and ``_index``, a bin's number from ``_origin``; ``spans`` has ``_first``, ``_final``, ``_origin`` and
+    ``_width`` per entity, and covers all that is held. Which bins have rows is one bit each of a number per run of 64 bins.
+    Only these runs are shuffled and kept by a task; bins without rows are laid out behind that and hashed nowhere.
+    """
+    size = F.lit(WORD).cast("bigint")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(_index, {WORD}) AS int))")
+    bits = held.groupBy(key, _div(F.col("_index"), WORD).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    inside = _div(F.col("_block") * GRID_BLOCK, WORD)
+    words = F.sequence(F.greatest(inside, _div(F.col("_low"), WORD)), F.least(inside + (GRID_BLOCK // WORD - 1), _div(F.col("_high"), WORD)))
+    runs = _numbered_blocks(spans, key).withColumn("_word", F.explode(words)).select(
+        key, "_word", "_origin", "_width",
+        F.greatest("_low", F.col("_word") * size).alias("_from"), F.least("_high", F.col("_word") * size + (WORD - 1)).alias("_to"),
+    )
+    # Runs are few, so re-planning would deal them to few tasks; a fixed number keeps their bins spread.
+    met = runs.unionByName(bits, allowMissingColumns=True).repartition(task_count(spans), key, "_word").groupBy(key, "_word").agg(
+        F.coalesce(F.bit_or("_bits"), F.lit(0).cast("bigint")).alias("_bits"), *(F.max(c).alias(c) for c in ("_from", "_to", "_origin", "_width")),
+    )
+    laid = met.select(key, "_bits", "_origin", "_width", F.explode(F.sequence("_from", "_to")).alias("_index"))
+    return laid.where(f"bit_get(_bits, cast(pmod(_index, {WORD}) AS int)) = 0").select(
+        key, add_micros(F.col("_origin"), F.col("_index") * F.col("_width")).alias(out)
+    )
+
+
 def auto_width(span_seconds: Column) -> Column:
     """Bin width in seconds for a span, by the ladder. The widths are not a cap on the point count."""
     target = span_seconds / DOWNSAMPLE_TARGET
@@ -150,12 +178,12 @@ def resample(
     binned = rows.withColumn("_bin", time_bin(F.col(layout.time), seconds))
     width = F.lit(seconds * MICROS).cast("bigint")
     spans = _spans(rows, [], layout).select(layout.entity, "_first", "_final", ntz("1970-01-01 00:00:00").alias("_origin"), width.alias("_width"))
-    return _aggregate(binned.withColumn("_block", _block_of(epoch_micros(F.col("_bin")), width)), spans, *options)
+    return _aggregate(binned.withColumn("_index", _index_of(epoch_micros(F.col("_bin")), width)), spans, *options)
 
 
-def _block_of(micros: Column, width: Column) -> Column:
-    """Which run of GRID_BLOCK bins a bin belongs to, from its distance to the origin of all bins."""
-    return F.call_function("div", floor_micros(micros, width * GRID_BLOCK), width * GRID_BLOCK)
+def _index_of(micros: Column, width: Column) -> Column:
+    """The number of the bin at a distance to the origin of all bins."""
+    return F.call_function("div", floor_micros(micros, width), width)
 
 
 def _resample_varying(rows, spans, width: Column, *options) -> DataFrame:
@@ -175,20 +203,14 @@ def _resample_varying(rows, spans, width: Column, *options) -> DataFrame:
     binned = (
         rows.withColumn("_day", F.to_date(layout.time)).join(daily, [layout.entity, "_day"])
         .withColumn("_offset", offset).withColumns({
-            "_bin": add_micros(F.col("_origin"), F.col("_offset")), "_block": _block_of(F.col("_offset"), F.col("_width")),
+            "_bin": add_micros(F.col("_origin"), F.col("_offset")), "_index": _index_of(F.col("_offset"), F.col("_width")),
         }).drop("_day", "_offset")
     )
     return _aggregate(binned, plans, *options)
 
 
-def _grid(spans: DataFrame, layout: Layout) -> DataFrame:
-    """Every bin from the one of an entity's first row to that of its last."""
-    start = add_micros(F.col("_origin"), floor_micros(micros_between(F.col("_origin"), F.col("_first")), F.col("_width")))
-    return bin_grid(spans.withColumn("_start", start), [layout.entity], "_start", "_final", F.col("_width"), "_bin")
-
-
 def _aggregate(binned, spans, signals, aggregation, show_band, ffill, dense, approx, layout) -> DataFrame:
-    """Aggregate binned rows; grid rows join in as rows without values, so no join is needed."""
+    """Aggregate binned rows. Bins without rows are laid out beside or behind that, without a join."""
     keys = [layout.entity, "_bin"]
     quantiles = {"median": 0.5} if aggregation == "median" else {}
     if show_band:
@@ -196,10 +218,9 @@ def _aggregate(binned, spans, signals, aggregation, show_band, ffill, dense, app
     main = "median" if aggregation == "median" else "mean"
 
     if not quantiles:
-        values = binned.select(*keys, *signals)
+        out = binned.groupBy(*keys).agg(*(F.avg(s).alias(s) for s in signals))
         if dense:
-            values = values.unionByName(_grid(spans, layout), allowMissingColumns=True)
-        out = values.groupBy(*keys).agg(*(F.avg(s).alias(s) for s in signals))
+            out = out.unionByName(empty_bins(binned.select(layout.entity, "_index"), spans, layout.entity, "_bin"), allowMissingColumns=True)
         out = out.withColumnRenamed("_bin", layout.time)
         return forward_fill(out, signals, layout) if ffill else out
 
@@ -213,6 +234,7 @@ def _aggregate(binned, spans, signals, aggregation, show_band, ffill, dense, app
         return (F.max(held) if names[column] == mean else F.sum(held)).alias(column)
 
     key, blocked = layout.entity, [layout.entity, "_block", "_bin"]
+    binned = binned.withColumn("_block", _div(F.col("_index"), GRID_BLOCK))
     long = turned_long(binned, blocked, signals)
     if approx:
         spread = group_quantiles(long, [*blocked, "signal"], "value", quantiles, True, mean)
@@ -234,24 +256,27 @@ def _aggregate(binned, spans, signals, aggregation, show_band, ffill, dense, app
     return forward_fill(out, list(names), layout) if ffill and not dense else out
 
 
-def _grid_blocks(spans: DataFrame, key: str) -> DataFrame:
-    """The blocks of bins of each entity: _from and _to, the first and last bin of the block that it covers, and _width."""
+def _numbered_blocks(spans: DataFrame, key: str) -> DataFrame:
+    """One row per block of bins of each entity, with the numbers of the entity's first and last bin."""
     width = F.col("_width")
+    low, high = (_index_of(micros_between(F.col("_origin"), F.col(time)), width).alias(name) for time, name in (("_first", "_low"), ("_final", "_high")))
+    numbered = spans.where(F.col("_first") <= F.col("_final")).select(key, "_origin", "_width", low, high)
+    return numbered.withColumn("_block", F.explode(F.sequence(_div(F.col("_low"), GRID_BLOCK), _div(F.col("_high"), GRID_BLOCK))))
 
-    def index(time: str) -> Column:
-        return F.call_function("div", floor_micros(micros_between(F.col("_origin"), F.col(time)), width), width)
 
+def _grid_blocks(spans: DataFrame, key: str) -> DataFrame:
+    """The blocks of bins of each entity: _from and _to, the first and last bin of the block that it covers, and _width."""
     low, high = F.col("_block") * GRID_BLOCK, F.col("_block") * GRID_BLOCK + (GRID_BLOCK - 1)
-    numbered = spans.where(F.col("_first") <= F.col("_final")).select(key, "_origin", "_width", index("_first").alias("_low"), index("_final").alias("_high"))
-    blocks = numbered.withColumn("_block", F.explode(F.sequence(_div(F.col("_low")), _div(F.col("_high")))))
-    return blocks.select(
+    return _numbered_blocks(spans, key).select(
         key, "_block", "_width",
-        add_micros(F.col("_origin"), F.greatest("_low", low) * width).alias("_from"), add_micros(F.col("_origin"), F.least("_high", high) * width).alias("_to"),
+        add_micros(F.col("_origin"), F.greatest("_low", low) * F.col("_width")).alias("_from"),
+        add_micros(F.col("_origin"), F.least("_high", high) * F.col("_width")).alias("_to"),
     )
 
 
-def _div(index: Column) -> Column:
-    return F.call_function("div", index - F.pmod(index, F.lit(GRID_BLOCK).cast("bigint")), F.lit(GRID_BLOCK).cast("bigint"))
+def _div(index: Column, size: int) -> Column:
+    """Which run of ``size`` bins a bin is in."""
+    return F.call_function("div", index - F.pmod(index, F.lit(size).cast("bigint")), F.lit(size).cast("bigint"))
 
 
 def forward_fill(

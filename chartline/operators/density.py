@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartline.functions.times import DENSITY_BIN_SECONDS, MICROS, floor_time, ntz, time_bin
+from chartline.functions.times import DENSITY_BIN_SECONDS, MICROS, epoch_micros, floor_micros, ntz, time_bin
 from chartline.layout import PATIENTS, Layout
-from chartline.operators.bins import bin_grid
+from chartline.operators.bins import empty_bins
 
 
 def event_density(
@@ -39,16 +39,12 @@ def event_density(
             happened = happened.join(shown.distinct(), key, "left_semi")
     else:
         axis = happened.groupBy(key).agg(F.min("_at").alias("_first"), F.max("_at").alias("_final"))
-    grid = bin_grid(
-        axis.withColumn("_start", floor_time(F.col("_first"), seconds)),
-        [key], "_start", "_final", F.lit(seconds * MICROS), "time_bin",
-    )
-    counted = happened.select(
-        key, time_bin(F.col("_at"), seconds).alias("time_bin"), F.lit(1).alias("_n")
-    )
-    return (
-        counted.unionByName(grid.withColumn("_n", F.lit(0)))
-        .groupBy(key, "time_bin")
-        .agg(F.sum("_n").alias("count"))
-        .withColumn("density_per_hour", F.col("count") / F.lit(seconds / 3600))
+    width = F.lit(seconds * MICROS).cast("bigint")
+    axis = axis.select(key, "_first", "_final", ntz("1970-01-01 00:00:00").alias("_origin"), width.alias("_width"))
+    binned = happened.select(key, time_bin(F.col("_at"), seconds).alias("time_bin"))
+    index = F.call_function("div", floor_micros(epoch_micros(F.col("time_bin")), width), width)
+    empty = empty_bins(binned.select(key, index.alias("_index")), axis, key, "time_bin")
+    counted = binned.groupBy(key, "time_bin").agg(F.count(F.lit(1)).alias("count"))
+    return counted.unionByName(empty.withColumn("count", F.lit(0).cast("bigint"))).withColumn(
+        "density_per_hour", F.col("count") / F.lit(seconds / 3600)
     )

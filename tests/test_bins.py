@@ -134,6 +134,29 @@ def test_grid_of_many_blocks(spark):
     assert tuple(out) == (10_801, 10_801, at("2024-01-01 00:00:00"), at("2024-01-01 03:00:00"))
 
 
+@pytest.mark.parametrize("width, seconds", [("1min", 60), ("7min", 420)])
+def test_dense_mean_around_1970_at_all_bits_of_a_run(spark, width, seconds):
+    """Every bin once, with the mean of its values; rows without a value and entities of one row as well."""
+    rng = random.Random(3)
+    start = dt.datetime(1969, 12, 25)
+    data = [("one", start, 5.0), ("none", start, None), ("none", start + dt.timedelta(hours=99), None)]
+    data += [("a", start + dt.timedelta(seconds=60 * m + 7), float(m)) for m in range(64, 192)]  # two full runs
+    data += [(rng.choice("bc"), start + dt.timedelta(seconds=rng.uniform(0, 14 * 86400)), rng.choice([None, 1.0, 2.5])) for _ in range(3000)]
+    out = bins.resample(spark.createDataFrame(data, readings_schema(ONE)), width, layout=ONE).collect()
+    got = {(r.patient_id, r.timestamp): r.hr for r in out}
+    expected = {}
+    for p in {row[0] for row in data}:
+        own = [(int((t - start).total_seconds()) // seconds, v) for q, t, v in data if q == p]
+        for i in range(min(i for i, _ in own), max(i for i, _ in own) + 1):
+            expected[p, start + dt.timedelta(seconds=i * seconds)] = []
+        for i, v in own:
+            if v is not None:
+                expected[p, start + dt.timedelta(seconds=i * seconds)].append(v)
+    assert len(out) == len(got) and got.keys() == expected.keys()
+    for at_bin, values in expected.items():
+        assert got[at_bin] == (pytest.approx(sum(values) / len(values)) if values else None)
+
+
 def test_quantiles_match_brute_force(spark):
     rng = random.Random(7)
     groups = {

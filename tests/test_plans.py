@@ -97,3 +97,22 @@ def test_building_queries_starts_no_job(spark):
         QUERIES[name](spark, "/root/testdata/sf0.001")
         assert len(tracker.getJobIdsForGroup(f"build {name}")) <= 4, name  # schemas of the reads
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def above(plan, pattern):
+    """Names of all operators above the first one that matches."""
+    lines = [(re.search(r"[*A-Z]", line).start(), line) for line in plan.splitlines() if re.search(r"[*A-Z]", line)]
+    at = next(i for i, (_, line) in enumerate(lines) if re.search(pattern, line))
+    depth, found = lines[at][0], []
+    for indent, line in reversed(lines[:at]):
+        if indent < depth:
+            depth = indent
+            found.append(re.search(r"[A-Z]\w+", line).group())
+    return found
+
+
+@pytest.mark.parametrize("name", ["resample_mean", "resample_two_signals", "resample_custom_width", "event_density_hour"])
+def test_empty_bins_are_neither_shuffled_nor_hashed(spark, name):
+    """A dense grid is many times its rows: a task that shuffles or hashes it bin by bin grows with the grid."""
+    found = above(final_plan(driver.queries()[name](spark, SF)), r"Generate explode\(sequence\(.*\[_index#")
+    assert found and not {"Exchange", "HashAggregate", "SortAggregate", "Sort"} & set(found), found

@@ -241,10 +241,12 @@ def _aggregate(binned, spans, signals, aggregation, show_band, ffill, dense, app
     else:
         spread = quantile_parts(long.withColumnRenamed("value", "_value"), [*blocked, "signal"], quantiles, mean)
     if dense:
-        # Rows and the blocks of the grid are dealt out by block together; bins are laid out, and filled, behind it.
-        blocks = _grid_blocks(spans, key)
-        dealt = spread.unionByName(blocks, allowMissingColumns=True).repartition(key, "_block")
-        each = F.expr("CASE WHEN _from IS NULL THEN array(_bin) ELSE sequence(_from, _to, make_dt_interval(0, 0, 0, _width / 1000000)) END")
+        # Rows and the blocks of the grid, each as a row of its first bin, are dealt out by block together; bins are laid out, and filled, behind it.
+        dealt = spread.unionByName(_grid_blocks(spans, key), allowMissingColumns=True).repartition(key, "_block")
+        if not ffill:
+            found = dealt.groupBy(*blocked).agg(*(of(c) for c in names), F.max("_to").alias("_to"), F.max("_width").alias("_width"))
+            return _laid_out(found, key, list(names), layout)
+        each = F.expr("CASE WHEN _to IS NULL THEN array(_bin) ELSE sequence(_bin, _to, make_dt_interval(0, 0, 0, _width / 1000000)) END")
         laid = dealt.select(key, "_block", F.explode(each).alias("_bin"), "signal", *quantiles, *([mean] if mean else []))
     else:
         # Bins whose rows hold no value still belong to a result without a grid.
@@ -256,6 +258,21 @@ def _aggregate(binned, spans, signals, aggregation, show_band, ffill, dense, app
     return forward_fill(out, list(names), layout) if ffill and not dense else out
 
 
+def _laid_out(found: DataFrame, key: str, columns: list[str], layout: Layout) -> DataFrame:
+    """All bins of each block from those with rows and its first, which has ``_to`` and ``_width``.
+
+    Each row brings the empty bins up to the next one along, so what a task orders and keeps are rows, not bins.
+    """
+    inside = f"PARTITION BY `{key}`, _block ORDER BY _bin"
+    so_far = f"({inside} ROWS UNBOUNDED PRECEDING)"
+    runs = found.selectExpr(
+        f"`{key}`", "_bin AS _held", *(f"`{c}`" for c in columns), f"lead(_bin) OVER ({inside}) AS _next",
+        f"max(_to) OVER {so_far} AS _to", f"make_dt_interval(0, 0, 0, max(_width) OVER {so_far} / {MICROS}) AS _step",
+    )
+    laid = runs.withColumn("_bin", F.explode(F.expr("sequence(_held, coalesce(_next - _step, _to), _step)")))
+    return laid.selectExpr(f"`{key}`", f"_bin AS `{layout.time}`", *(f"CASE WHEN _bin = _held THEN `{c}` END AS `{c}`" for c in columns))
+
+
 def _numbered_blocks(spans: DataFrame, key: str) -> DataFrame:
     """One row per block of bins of each entity, with the numbers of the entity's first and last bin."""
     width = F.col("_width")
@@ -265,11 +282,11 @@ def _numbered_blocks(spans: DataFrame, key: str) -> DataFrame:
 
 
 def _grid_blocks(spans: DataFrame, key: str) -> DataFrame:
-    """The blocks of bins of each entity: _from and _to, the first and last bin of the block that it covers, and _width."""
+    """The blocks of bins of each entity: _bin and _to, the first and last bin of the block that it covers, and _width."""
     low, high = F.col("_block") * GRID_BLOCK, F.col("_block") * GRID_BLOCK + (GRID_BLOCK - 1)
     return _numbered_blocks(spans, key).select(
         key, "_block", "_width",
-        add_micros(F.col("_origin"), F.greatest("_low", low) * F.col("_width")).alias("_from"),
+        add_micros(F.col("_origin"), F.greatest("_low", low) * F.col("_width")).alias("_bin"),
         add_micros(F.col("_origin"), F.least("_high", high) * F.col("_width")).alias("_to"),
     )
 
